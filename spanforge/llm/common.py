@@ -88,12 +88,34 @@ def map_arrow(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(each, schema)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, also where body's lambdas use it for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, most_hot: int = 200, least: int = 10_000) -> DataFrame:
+    """Inner join of left to right, where right has one row per key and `weight` is about how many rows left has of it.
+
+    Keys with over 1 / most_hot of the total weight are broadcast, so their rows stay where they are;
+    there can't be more than most_hot of them. The rest is shuffled. right is read several
+    times: checkpoint it first.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    bar = max(least, total / most_hot)
+    if total <= least:
+        return left.join(right, keys)
+    hot, cold = right.where(F.col(weight) > bar), right.where(F.col(weight) <= bar)
+    of_hot = left.join(F.broadcast(hot), keys)
+    of_cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return of_hot.unionByName(of_cold)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     edges: (a, b) longs, either way round, repeats and loops allowed. Returns
-    (node, root) for every node that has an edge to another one; root is the
-    smallest node reachable. Each round is a groupBy-min and an equi-join on the
+    (node, root) for every node that isn't the smallest of its component; root is
+    the smallest node reachable. Each round is a groupBy-min and an equi-join on the
     node, so a hub is pre-aggregated and its join rows can be split by AQE. Each
     round's edges are checkpointed, and only two figures come to the driver.
     """

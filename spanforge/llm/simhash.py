@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, chunks, components, cut, map_arrow
+from .common import bytes_of, chunks, components, cut, map_arrow, skew_join
 
 #: Fingerprints in the sample that the masks are chosen by.
 SAMPLE = 2048
@@ -310,10 +310,10 @@ def simhash_groups(docs: DataFrame, width: int = 3, bits: int = 64, tau: int = 3
     table gives an empty result.
     """
     prints = cut(with_fingerprints(docs, width, bits, seed))
-    reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(link_edges(reps, bits, tau, sample_size, hot, recall))
-    named = reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    roots = components(link_edges(reps.select("fp", "rep"), bits, tau, sample_size, hot, recall))
+    named = cut(reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", "copies", F.coalesce("root", "rep").alias("component_id")))
+    return skew_join(prints, named, ["fp"], "copies").select("doc_id", "fp", "component_id")
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits: int = 512, recall: float = 0.9) -> DataFrame:
