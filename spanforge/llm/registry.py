@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["bpe", "langid", "lines", "quality", "simhash"]
+MODULES = ["bpe", "langid", "lines", "quality", "simhash", "toxicity"]
 
 
 def queries() -> dict:
