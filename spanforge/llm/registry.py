@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["bpe", "langid", "lines", "packing", "quality", "simhash", "toxicity"]
+MODULES = ["bpe", "langid", "lines", "packing", "quality", "simhash", "toxicity", "warc"]
 
 
 def queries() -> dict:
