@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["bpe", "embeddings", "langid", "lines", "packing", "quality", "simhash", "toxicity", "warc"]
+MODULES = ["bpe", "embeddings", "langid", "lines", "packing", "passages", "quality", "simhash", "toxicity", "warc"]
 
 
 def queries() -> dict:
