@@ -169,24 +169,38 @@ class Links:
                 self.direct(a, b)
                 continue
             left, right = a.children or [a], b.children or [b]
-            if len(left) * len(right) > 1 << 12:
-                pass
-            elif a.children and (not b.children or a.radius >= b.radius):
-                right = [b]
-            else:
-                left = [a]
             todo += self.survivors(left, right)
 
     def survivors(self, left: list[Node], right: list[Node]) -> list[tuple[Node, Node]]:
         """Node pairs within reach; those that link as a whole are counted here, and single members compared."""
+        out: list[tuple[Node, Node]] = []
+        # nodes of radius 0, most of them in high dimensions, need no bound of their own; a few members are cheaper one by one than as a node with a wide bound
+        left, right = self.opened(left), self.opened(right)
+        for some in ([n for n in left if not n.radius], [n for n in left if n.radius]):
+            for others in ([n for n in right if not n.radius], [n for n in right if n.radius]):
+                if some and others:
+                    self._survivors(some, others, out)
+        return out
+
+    @staticmethod
+    def opened(nodes: list[Node], few: int = 16) -> list[Node]:
+        """The nodes, small ones as their single members."""
         out = []
+        for n in nodes:
+            if n.radius and n.hi - n.lo <= few:
+                out += [Node(i, i + 1, i, 0.0, []) for i in range(n.lo, n.hi)]
+            else:
+                out.append(n)
+        return out
+
+    def _survivors(self, left: list[Node], right: list[Node], out: list[tuple[Node, Node]]) -> None:
         cx, cy = self.x[[n.centre for n in left]], self.y[[n.centre for n in right]]
         fx, fy = cx.astype(np.float32), cy.astype(np.float32)
         rx, ry = np.array([n.radius for n in left], np.float32), np.array([n.radius for n in right], np.float32)
-        single_y = not ry.any()
+        plain = not left[0].radius and not right[0].radius
         for i in range(0, len(left), 512):
             near = fx[i : i + 512] @ fy.T
-            if single_y and not rx[i : i + 512].any():
+            if plain:
                 ok = near >= np.float32(self.least - 1e-5)
             else:
                 reach = rx[i : i + 512, None] + ry[None, :] + np.float32(self.theta)
@@ -199,7 +213,6 @@ class Links:
                         self.all_pairs(a, b)
                 elif d <= a.radius + b.radius + self.theta + SLACK:
                     out.append((a, b))
-        return out
 
 
 def link_blocks(x: np.ndarray, y: np.ndarray, tx: Node, ty: Node, wx: np.ndarray, wy: np.ndarray, same: bool, least: float) -> Links:
