@@ -128,7 +128,7 @@ def truthy(raw: Column, key: str) -> Column:
     kind = F.schema_of_variant(F.try_variant_get(raw, f"$.{key}", "variant"))
     text = F.try_variant_get(raw, f"$.{key}", "string")
     return F.coalesce(
-        F.when(kind == "BOOLEAN", text == "true").when(kind == "STRING", text != "").when(kind == "VOID", F.lit(False)).otherwise(F.coalesce(text.try_cast("double") != 0, F.lit(True))), F.lit(False)
+        F.when(kind.isNull(), F.lit(False)).when(kind == "BOOLEAN", text == "true").when(kind == "STRING", text != "").when(kind == "VOID", F.lit(False)).otherwise(F.coalesce(text.try_cast("double") != 0, F.lit(True))), F.lit(False)
     )
 
 
