@@ -24,7 +24,7 @@ from .common import chunks, map_arrow, texts_of
 
 #: Pre-tokens of at most CACHED_BYTES kept with their ids in each of a worker's two cache generations; a full one
 #: becomes the old one, and what is still used comes back from there. A document may exceed it by its own pre-tokens.
-CACHE = 300_000
+CACHE = 700_000
 CACHED_BYTES = 64
 
 
