@@ -104,10 +104,14 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, m
     bar = max(least, total / most_hot)
     if total <= least:
         return left.join(right, keys)
-    hot, cold = right.where(F.col(weight) > bar), right.where(F.col(weight) <= bar)
-    of_hot = left.join(F.broadcast(hot), keys)
-    of_cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
-    return of_hot.unionByName(of_cold)
+    # left is read once: rows of hot keys have their match before the shuffle, and a salt that spreads them there
+    values = F.struct(*[c for c in right.columns if c not in keys])
+    hot = right.where(F.col(weight) > bar).select(*keys, values.alias("_hot"))
+    cold = right.where(F.col(weight) <= bar).select(*keys, F.lit(0).alias("_salt"), values.alias("_cold"))
+    spread = 1 + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(1 << 20)).cast("int")
+    tried = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(spread))
+    met = tried.join(cold, [*keys, "_salt"], "left").withColumn("_of", F.coalesce("_hot", "_cold")).where(F.col("_of").isNotNull())
+    return met.select(*keys, *[F.col(f"`{c}`") for c in left.columns if c not in keys], "_of.*")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
