@@ -51,12 +51,14 @@ def shingles(text: bytes, width: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(width)))))
 
 
-def fingerprint(text: bytes, width: int = 3, bits: int = 64, seed: int = 42) -> bytes:
-    """SimHash of bits / 8 bytes: a bit is 1 if set in more than half of the shingles' hashes.
+def fingerprint(text: bytes, width: int = 3, bits: int = 64, seed: int = 42, once: bool = False) -> bytes:
+    """SimHash of bits / 8 bytes: a bit is 1 if set in more than half of the shingles' hashes, repeats counted unless `once`.
 
     The first 64 bits come from XXH64 with the seed; further words are mixed from it.
     """
     made = shingles(text, width)
+    if once:
+        made = list(dict.fromkeys(made))
     if not made:
         return bytes(bits // 8)
     digest = xxhash.xxh64_digest
@@ -76,12 +78,12 @@ def fingerprint(text: bytes, width: int = 3, bits: int = 64, seed: int = 42) ->
     return np.packbits(2 * ones > len(hashed)).tobytes()
 
 
-def with_fingerprints(docs: DataFrame, width: int = 3, bits: int = 64, seed: int = 42) -> DataFrame:
+def with_fingerprints(docs: DataFrame, width: int = 3, bits: int = 64, seed: int = 42, once: bool = False) -> DataFrame:
     """(doc_id long, fp binary)"""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
-            fps = [fingerprint(t, width, bits, seed) for t in bytes_of(b.column(1))]
+            fps = [fingerprint(t, width, bits, seed, once) for t in bytes_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), each, "doc_id long, fp binary")
@@ -300,7 +302,7 @@ def link_edges(reps: DataFrame, bits: int = 64, tau: int = 3, sample_size: int =
     return map_arrow(rows.select("key", "fp", "rep").repartition("key").sortWithinPartitions("key"), search, "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, width: int = 3, bits: int = 64, tau: int = 3, seed: int = 42, sample_size: int = SAMPLE, hot: int = HOT, recall: float = 0.9) -> DataFrame:
+def simhash_groups(docs: DataFrame, width: int = 3, bits: int = 64, tau: int = 3, seed: int = 42, sample_size: int = SAMPLE, hot: int = HOT, recall: float = 0.9, once: bool = False) -> DataFrame:
     """(doc_id, fp, component_id): SimHash groups linked at tau or fewer differing bits.
 
     docs: doc_id, text; other columns are ignored. A null or wordless text has
@@ -309,7 +311,7 @@ def simhash_groups(docs: DataFrame, width: int = 3, bits: int = 64, tau: int = 3
     the component of their fingerprint. Repeated rows come back as often as they are given. An empty
     table gives an empty result.
     """
-    prints = cut(with_fingerprints(docs, width, bits, seed))
+    prints = cut(with_fingerprints(docs, width, bits, seed, once))
     reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     roots = components(link_edges(reps.select("fp", "rep"), bits, tau, sample_size, hot, recall))
     named = cut(reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", "copies", F.coalesce("root", "rep").alias("component_id")))
@@ -317,14 +319,14 @@ def simhash_groups(docs: DataFrame, width: int = 3, bits: int = 64, tau: int = 3
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits: int = 512, recall: float = 0.9) -> DataFrame:
-    """simhash_groups for a similarity of word shingles.
+    """simhash_groups for a similarity of sets of word shingles, so repeats count once.
 
     tau is the Hamming distance expected of two sets at that Jaccard similarity and one standard
     deviation more, so that five in six pairs just at the threshold are within it. The
     fingerprint estimates the similarity to about 0.04; pairs that far below it may link as well.
     """
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return simhash_groups(docs, width, bits, round(bits * differ + math.sqrt(bits * differ * (1 - differ))), recall=recall)
+    return simhash_groups(docs, width, bits, round(bits * differ + math.sqrt(bits * differ * (1 - differ))), recall=recall, once=True)
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

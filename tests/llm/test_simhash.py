@@ -79,6 +79,13 @@ def test_similar_groups_at_0_8(spark, docs_of):
     assert sum(c % 10 == 0 for c in got.values()) >= 57
 
 
+def test_similarity_is_of_sets(spark, docs_of):
+    """A word said over and over doesn't make two texts alike."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(60)) + " the" * 400) for i in range(10)]
+    assert [r.doc_id == r.component_id for r in S.similar_groups(docs_of(rows)).collect()] == [True] * 10
+
+
 def test_wide_hot_buckets_are_chunked(spark, docs_of):
     rows = [(i, " ".join(["the same words again and again"] * 30 + [f"x{i}"])) for i in range(60)]
     got = S.simhash_groups(docs_of(rows), 5, 512, 77, hot=10).collect()
