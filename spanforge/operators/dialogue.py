@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import Pattern
 from ..functions.text import soften
 from ..schema import DECISION_COLUMNS, MEDIA, REASON_CAP, SEQ
-from .ranges import by_media, range_exists
+from .ranges import by_media, range_exists_within
 
 
 def _seq(df: DataFrame, *order) -> DataFrame:
@@ -117,7 +117,7 @@ def scan_words(words: DataFrame, lexicon: list[Pattern], actions: dict[str, str]
 def context_gate(edl: DataFrame, window: float = 30.0) -> DataFrame:
     """Weak rows stay only within `window` seconds of a strong one; strong rows always do."""
     weak = F.startswith(F.col("reason"), F.lit("weak:"))
-    near = range_exists(edl, edl.where(~weak), window, name="_near")
+    near = range_exists_within(edl, ~weak, window, "_near")
     return near.where(~weak | F.col("_near")).drop("_near")
 
 

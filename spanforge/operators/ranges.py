@@ -51,12 +51,25 @@ def range_exists(probe: DataFrame, build: DataFrame, radius: float = 0.0, strict
     rows = F.struct(*[F.col(f"`{c}`") for c in probe.columns])
     probes = probe.select(MEDIA, F.col("end").alias("_key"), F.lit(None).cast("double").alias("_end"), F.lit(0 if strict else 1).alias("_side"), rows.alias("_row"))
     both = builds.withColumn("_row", F.col("_row").cast(probes.schema["_row"].dataType)).unionByName(probes)
+    return _reached(both, strict, name)
+
+
+def _reached(events: DataFrame, strict: bool, name: str) -> DataFrame:
     so_far = Window.partitionBy(MEDIA).orderBy("_key", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    reach = both.withColumn("_reach", F.max("_end").over(so_far)).where(F.col("_row").isNotNull())
+    reach = events.withColumn("_reach", F.max("_end").over(so_far)).where(F.col("_row").isNotNull())
     start = F.col("_row.start")
     return reach.select("_row.*", F.coalesce(F.col("_reach") > start if strict else F.col("_reach") >= start, F.lit(False)).alias(name))
 
 
+def range_exists_within(df: DataFrame, is_build: Column, radius: float = 0.0, name: str = "near") -> DataFrame:
+    """range_exists of df against those of its own rows for which is_build holds; df is read once."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    probe = F.struct(F.col("end").alias("_key"), F.lit(None).cast("double").alias("_end"), F.lit(1).alias("_side"))
+    build = F.struct((F.col("start") - radius).alias("_key"), (F.col("end") + radius).alias("_end"), F.lit(0).alias("_side"))
+    events = df.select(MEDIA, row.alias("_row"), F.explode(F.array_compact(F.array(probe, F.when(is_build, build)))).alias("_e")).select(MEDIA, "_e.*", F.when(F.col("_e._side") == 1, F.col("_row")).alias("_row"))
+    return _reached(events, False, name)
+
+
 def stab(points: DataFrame, at: str, intervals: DataFrame, name: str = "hit") -> DataFrame:
     """points with the interval (start, end, and whatever else it has) that holds `at`, start <= at < end, or null.
 
