@@ -1,0 +1 @@
+"""Files and documents as tables, and back."""

@@ -1,0 +1 @@
+"""Nothing yet: all operators work on whole, finished recordings."""
