@@ -125,7 +125,7 @@ def keep_identified(docs: DataFrame, model: NaiveBayes, least_score: float = 0.5
             lang, score = held.value.predict(texts_of(b.column(at)))
             yield b.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in zip(lang, score)]))
 
-    return docs.mapInArrow(each, docs.schema)
+    return map_arrow(docs, each, docs.schema)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
