@@ -206,6 +206,20 @@ def forest(fps: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parents), np.concatenate(children)
 
 
+def near_pairs(fps: np.ndarray, groups: np.ndarray, tau: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a bucket within tau bits whose groups differ, about `most` comparisons at a time."""
+    step = max(1, most // len(fps))
+    for i in range(0, len(fps), step):
+        part, rest = fps[i : i + step], fps[i:]
+        far = np.zeros((len(part), len(rest)), np.uint16)
+        for w in range(fps.shape[1]):
+            far += np.bitwise_count(part[:, w, None] ^ rest[None, :, w])
+        a, b = np.nonzero((far <= tau) & (groups[i : i + step, None] != groups[None, i:]))
+        keep = a < b
+        if keep.any():
+            yield a[keep] + i, b[keep] + i
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Runs of at least two rows with equal keys, of sorted batches; a run may cross batches."""
     held: pa.Table | None = None
@@ -229,7 +243,9 @@ def link_edges(reps: DataFrame, bits: int = 64, tau: int = 3, sample_size: int =
 
     reps: (fp binary, rep long), one row per distinct fingerprint, checkpointed. All groups are
     found for 64 bits; for more, pairs at tau bits are met with probability `recall` each, closer ones with a higher one.
+    If reps have a third column, grp long, edges are all pairs of different grp that meet instead, maybe repeated.
     """
+    more = [c for c in reps.columns if c == "grp"]
     n = reps.count()
     if n < 2 or tau <= 0:
         return reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
@@ -254,14 +270,14 @@ def link_edges(reps: DataFrame, bits: int = 64, tau: int = 3, sample_size: int =
                         rows = b.take(pa.array(at))
                         for number, words in tables.get(int(old), []):
                             yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(len(at), number, np.int32)), pa.array(keyed(fps[at], words, number)), rows.column(1), rows.column(2)], names=["mask", "key", "fp", "rep"]
+                                [pa.array(np.full(len(at), number, np.int32)), pa.array(keyed(fps[at], words, number)), *rows.columns[1:]], names=["mask", "key", "fp", "rep", *more]
                             )
 
         return each
 
-    schema = "mask int, key long, fp binary, rep long"
+    schema = "mask int, key long, fp binary, rep long" + "".join(f", {c} long" for c in more)
     numbered = dict(enumerate(masks, 1))
-    level = map_arrow(reps.select(F.lit(0).alias("mask"), "fp", "rep"), emit({0: [(k, mask_words(m, bits)) for k, m in numbered.items()]}), schema)
+    level = map_arrow(reps.select(F.lit(0).alias("mask"), "fp", "rep", *more), emit({0: [(k, mask_words(m, bits)) for k, m in numbered.items()]}), schema)
     parts = []
     for depth in range(1, 9):
         # after a few splits by bits, or where few are left, chunks do the rest
@@ -277,14 +293,14 @@ def link_edges(reps: DataFrame, bits: int = 64, tau: int = 3, sample_size: int =
                 for f in split_mask(m, tau):
                     number += 1
                     finer.setdefault(old, []).append((number, f))
-            level = cut(map_arrow(level.select("mask", "fp", "rep"), emit({k: [(j, mask_words(f, bits)) for j, f in v] for k, v in finer.items()}), schema).distinct())
+            level = cut(map_arrow(level.select("mask", "fp", "rep", *more), emit({k: [(j, mask_words(f, bits)) for j, f in v] for k, v in finer.items()}), schema).distinct())
             numbered = {j: f for v in finer.values() for j, f in v}
             continue
         groups = F.ceil(F.col("n") * 2 / hot).cast("int")
         level = (
             level.withColumn("g", F.pmod(F.xxhash64("rep"), groups).cast("int"))
             .withColumn("h", F.explode(F.sequence(F.lit(0), groups - 1)))
-            .select("mask", F.xxhash64("key", F.least("g", "h"), F.greatest("g", "h")).alias("key"), "fp", "rep")
+            .select("mask", F.xxhash64("key", F.least("g", "h"), F.greatest("g", "h")).alias("key"), "fp", "rep", *more)
         )
         parts.append(level)
         break
@@ -294,12 +310,11 @@ def link_edges(reps: DataFrame, bits: int = 64, tau: int = 3, sample_size: int =
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, "key"):
-            ids = run.column("rep").to_numpy()
-            a, b = forest(words_of(run.column("fp").to_pylist(), bits), tau)
-            if len(a):
+            ids, fps = run.column("rep").to_numpy(), words_of(run.column("fp").to_pylist(), bits)
+            for a, b in near_pairs(fps, run.column("grp").to_numpy(), tau) if more else [forest(fps, tau)]:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
-    return map_arrow(rows.select("key", "fp", "rep").repartition("key").sortWithinPartitions("key"), search, "a long, b long")
+    return map_arrow(rows.select("key", "fp", "rep", *more).repartition("key").sortWithinPartitions("key"), search, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, bits: int = 64, tau: int = 3, seed: int = 42, sample_size: int = SAMPLE, hot: int = HOT, recall: float = 0.9, once: bool = False) -> DataFrame:
@@ -318,15 +333,52 @@ def simhash_groups(docs: DataFrame, width: int = 3, bits: int = 64, tau: int = 3
     return skew_join(prints, named, ["fp"], "copies").select("doc_id", "fp", "component_id")
 
 
+def alike(a: bytes, b: bytes, similarity: float, width: int) -> bool:
+    """Whether the Jaccard similarity of the sets of word shingles is at least `similarity`."""
+    x, y = set(shingles(a, width)), set(shingles(b, width))
+    both = len(x & y)
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def verified(edges: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The edges (a, b) between doc_ids whose texts are alike, each once. Of several texts of one doc_id the least is taken."""
+    pairs = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    asked = pairs.groupBy("a").agg(F.count("*").alias("n")).unionByName(pairs.groupBy(F.col("b").alias("a")).agg(F.count("*").alias("n")))
+    asked = asked.groupBy("a").agg(F.sum("n").alias("n"))
+    texts = cut(docs.select(F.col("doc_id").cast("long").alias("a"), "text").join(asked, "a").groupBy("a").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("n").alias("n")))
+    left = skew_join(pairs, texts.withColumnRenamed("text", "x"), ["a"], "n").select("a", "b", "x")
+    both = skew_join(left, texts.select(F.col("a").alias("b"), F.col("text").alias("y"), "n"), ["b"], "n").select("a", "b", "x", "y")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "x", 4 << 20):
+            keep = [alike(x, y, similarity, width) for x, y in zip(bytes_of(b.column(2)), bytes_of(b.column(3)))]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return cut(map_arrow(both, each, "a long, b long"))
+
+
+def expected_distance(similarity: float, bits: int, deviations: float = 0) -> int:
+    """Differing bits of two sets at a Jaccard similarity, and so many standard deviations more."""
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * differ + deviations * math.sqrt(bits * differ * (1 - differ)))
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits: int = 512, recall: float = 0.9) -> DataFrame:
-    """simhash_groups for a similarity of sets of word shingles, so repeats count once.
+    """(doc_id, fp, component_id) as in simhash_groups, linked where sets of word shingles have that Jaccard similarity.
 
-    tau is the Hamming distance expected of two sets at that Jaccard similarity and one standard
-    deviation more, so that five in six pairs just at the threshold are within it. The
-    fingerprint estimates the similarity to about 0.04; pairs that far below it may link as well.
+    Fingerprints only propose pairs, up to four standard deviations beyond the distance expected at the
+    similarity; each link is verified by the texts. Close pairs are proposed as forests and
+    verified first, then all pairs that their components leave apart.
     """
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return simhash_groups(docs, width, bits, round(bits * differ + math.sqrt(bits * differ * (1 - differ))), recall=recall, once=True)
+    prints = cut(with_fingerprints(docs, width, bits, once=True))
+    reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    close = verified(link_edges(reps.select("fp", "rep"), bits, expected_distance((1 + similarity) / 2, bits)), docs, similarity, width)
+    roots = components(close)
+    grouped = cut(reps.where("rep is not null").join(roots, reps["rep"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "rep").alias("grp")))
+    rest = verified(link_edges(grouped, bits, expected_distance(similarity, bits, 4), recall=recall), docs, similarity, width)
+    roots = components(close.unionByName(rest))
+    named = cut(reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", "copies", F.coalesce("root", "rep").alias("component_id")))
+    return skew_join(prints, named, ["fp"], "copies").select("doc_id", "fp", "component_id")
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

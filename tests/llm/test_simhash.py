@@ -79,6 +79,25 @@ def test_similar_groups_at_0_8(spark, docs_of):
     assert sum(c % 10 == 0 for c in got.values()) >= 57
 
 
+def test_similar_groups_are_verified(spark, docs_of):
+    """Pairs on either side of 0.8 are told apart by their shingles."""
+    rng = random.Random(6)
+    rows, links = [], []
+    for g in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        copy = [*words[:-1]]
+        n = rng.randrange(34, 60)
+        copy[:n] = [f"v{rng.randrange(5000)}" for _ in range(n)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(copy))]
+        x, y = (set(zip(*(w[i:] for i in range(5)))) for w in (words, copy))
+        if len(x & y) >= 0.8 * len(x | y):
+            links.append((2 * g, 2 * g + 1))
+    assert 10 < len(links) < 50
+    got = {r.doc_id: r.component_id for r in S.similar_groups(docs_of(rows)).collect()}
+    assert {i for i, c in got.items() if c != i} <= {b for _, b in links}
+    assert sum(c != i for i, c in got.items()) >= 0.9 * len(links)
+
+
 def test_similarity_is_of_sets(spark, docs_of):
     """A word said over and over doesn't make two texts alike."""
     rng = random.Random(8)
