@@ -79,6 +79,17 @@ def test_similar_groups_at_0_8(spark, docs_of):
     assert sum(c % 10 == 0 for c in got.values()) >= 57
 
 
+def test_masks_meet_pairs_at_the_threshold():
+    """At least 99 in 100 pairs at 0.8 agree on a mask, however the distance varies; masks are the ones the stage takes."""
+    rng = np.random.default_rng(4)
+    tau = S.expected_distance(0.8, 512, 4)
+    recall = S.similar_groups.__defaults__[-1]
+    masks = np.array([np.bincount(m, minlength=512) for m in S.random_masks(512, tau, recall)])
+    differ = rng.random((20_000, 512)) < S.expected_distance(0.8, 512) / 512
+    met = ((differ.astype(np.float32) @ masks.T.astype(np.float32)) == 0).any(axis=1) & (differ.sum(axis=1) <= tau)
+    assert met.mean() >= 0.99
+
+
 def test_similar_groups_are_verified(spark, docs_of):
     """Pairs on either side of 0.8 are told apart by their shingles."""
     rng = random.Random(6)
