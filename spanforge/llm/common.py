@@ -46,6 +46,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, smaller than a checkpoint, and the table's path; remove() it when nothing reads it any more."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small(df: DataFrame, row_bytes: int, most: int = 16 << 20) -> DataFrame:
+    """df (checkpointed) marked for broadcast if its rows, of about row_bytes each, fit in `most` bytes; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and leaves every other character alone. ASCII text, told by its length, takes the quick way."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, ASCII_UPPER, ASCII_UPPER.lower()))
