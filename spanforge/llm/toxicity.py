@@ -226,13 +226,16 @@ class SubwordSoftmax:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE) -> list[tuple[str, int]]:
-    """(text, label) of at most so many training documents of class 0 and 1; ids are chosen first, so that only the chosen texts move."""
+    """(text, label) of at most so many training documents of class 0 and 1; ids are chosen first, so that only the chosen texts move. Where ids repeat, the rows are chosen from once more."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
     present = known.join(docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = present.withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.when(F.col("label") == 1, most[1]).otherwise(most[0])).drop("at")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "label").collect()
-    return sorted((r.text, r.label) for r in rows)
+
+    def first(rows: DataFrame, *more) -> DataFrame:
+        order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", *more)
+        return rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.when(F.col("label") == 1, most[1]).otherwise(most[0])).drop("at")
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(first(present)), "doc_id")
+    return sorted((r.text, r.label) for r in first(texts, F.xxhash64("text")).select("text", "label").collect())
 
 
 def score_texts(docs: DataFrame, model: SubwordSoftmax) -> DataFrame:

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -56,9 +58,46 @@ def test_tables(spark, docs_of):
     sample = T.labelled_sample(docs_of(rows), labels)
     assert len(sample) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(120))
     assert len(T.labelled_sample(docs_of(rows), labels, (3, 2))) == 5
+    assert len(T.labelled_sample(docs_of(rows * 4), labels, (3, 2))) == 5
     got = T.score_texts(docs_of(rows), T.SubwordSoftmax.train(sample, iterations=5)).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
     assert T.score_texts(docs_of([]), T.SubwordSoftmax.train([])).collect() == []
     assert {r.score for r in T.score_texts(docs_of(rows[:3]), T.SubwordSoftmax.train([])).collect()} == {0.5}
     fold = spark.range(50)
     assert [r.h for r in fold.select(held_out(fold.id).alias("h")).collect()] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(50)]
+
+
+def slow_score(model, text):
+    """One character n-gram at a time."""
+    mask = 0xFFFFFFFF
+
+    def bucket(h):
+        h ^= h >> 15
+        return (h * 0x85EBCA6B & mask) >> 32 - (T.BUCKETS.bit_length() - 1)
+
+    scores = []
+    for w in re.findall(r"[^\W_]+", text.lower()):
+        codes = [2, *map(ord, w), 3]
+        found = []
+        for n in (3, 4, 5):
+            for i in range(len(codes) - n + 1):
+                h = n
+                for c in codes[i : i + n]:
+                    h = (h * 0x01000193 & mask) ^ c
+                found.append(bucket(h))
+        whole = 0
+        for place, c in enumerate(codes):
+            x = (c + 1) * ((place * 2 + 1) * 0x9E3779B97F4A7C15) & (1 << 64) - 1
+            whole += x ^ x >> 29
+        found.append(bucket((whole & (1 << 64) - 1) >> 32))
+        scores.append(sum(float(model.table[b]) for b in found) / len(found))
+    mean = sum(scores) / len(scores) if scores else 0.0
+    return 1 / (1 + math.exp(-(mean + model.bias)))
+
+
+def test_scores_match_brute_force(spark, docs_of):
+    model = T.SubwordSoftmax.train([(t, y) for _, t, y in made(150)], iterations=8)
+    rows = [(i, t) for i, t, _ in made(40, 5)] + [(900, ""), (901, "a"), (902, "Idiot_idiots É!"), (903, "\U0001F600 \U00020001x"), (904, "no " * 3000), (905, None)]
+    got = {r.doc_id: r.score for r in T.score_texts(docs_of(rows), model).collect()}
+    for i, t in rows:
+        assert abs(got[i] - slow_score(model, t or "")) < 1e-6
