@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import cut
-from spanforge.llm.langid import NaiveBayes, keep_identified, labelled_sample
+from spanforge.llm.langid import keep_identified, learn
 from spanforge.llm.lines import dedup_lines
 from spanforge.llm.packing import pack_documents
 from spanforge.llm.passages import drop_passages
@@ -25,7 +25,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without a letter go, and those of a posterior below one half."""
-    return keep_identified(docs, NaiveBayes(labelled_sample(docs)))
+    return keep_identified(docs, learn(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
