@@ -66,20 +66,20 @@ def base_figures(text: Column) -> Column:
     )
 
 
-def boilerplate_words(rows: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+def boilerplate_words(rows: DataFrame, min_docs: int, max_share: float, most_docs: int) -> DataFrame:
     """(id, sum, gone): for rows (id, sum, host, text), the words in lines above their host's limit, where there are any."""
-    lines = (
-        rows.select("id", "sum", "host", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
+    lines = cut(
+        rows.select("id", "sum", F.xxhash64("host").alias("host"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
         .select("id", "sum", "host", "pos", "line", line_key(F.col("line")).alias("key"))
         .where("key <> ''")
-        .select("id", "sum", F.xxhash64("host").alias("host"), "pos", F.size(words_in(F.col("line"))).alias("words"), *[h for h in hashes(F.col("key"))])
+        .select("id", "sum", "host", "pos", F.size(words_in(F.col("line"))).alias("words"), *hashes(F.col("key")))
     )
-    # a row counts a line once: distinct within the row, before anything is shuffled
-    keys = F.array_distinct(F.transform(F.filter(F.transform(split_lines(F.col("text")), line_key), lambda k: k != ""), lambda k: F.struct(*hashes(k))))
-    once = rows.select(F.xxhash64("host").alias("host"), F.explode(keys).alias("k")).select("host", "k.h1", "k.h2")
+    # documents of a line by two partial counts, so that a line that all documents of a host have is no task's alone
+    once = lines.where("id is not null").groupBy("host", "h1", "h2", "id").agg(F.lit(1).alias("one"))
     counted = cut(once.groupBy("host", "h1", "h2").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs))
-    hosts = cut(rows.groupBy(F.xxhash64("host").alias("host")).agg(F.count("*").alias("host_docs")))
-    above = cut(skew_join(counted, hosts, ["host"], "host_docs").where(F.col("docs") > max_share * F.col("host_docs")).select("host", "h1", "h2", "docs"))
+    hosts = cut(rows.where("id is not null").groupBy(F.xxhash64("host").alias("host"), "id").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs")))
+    limit = F.least(max_share * F.col("host_docs"), F.lit(float(most_docs)))
+    above = cut(skew_join(counted, hosts, ["host"], "host_docs").where(F.col("docs") > limit).select("host", "h1", "h2", "docs"))
     return (
         skew_join(lines, above, ["host", "h1", "h2"], "docs")
         .groupBy("id", "sum")
@@ -87,18 +87,23 @@ def boilerplate_words(rows: DataFrame, min_docs: int, max_share: float) -> DataF
     )
 
 
-def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = 10, max_share: float = 0.01, min_left: float = 0.5, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
+#: Documents of a host that a line stands in as boilerplate: so many at least, and more than this share of them or so many, whichever is less.
+MIN_DOCS, MAX_SHARE, MOST_DOCS = 10, 0.01, 1000
+
+
+def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, most_docs: int = MOST_DOCS, min_left: float = 0.5, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
     """Base figures of each row of docs, and whether to keep it.
 
     A line (normalised, with a word) is boilerplate of its host if it stands in at least min_docs
-    of its documents and in more than max_share of them; rows are documents here. base_failed: fewer
+    of its documents, and in more than max_share of them or more than most_docs. Rows of one doc_id
+    are one document, and a row without one is none, though it loses lines like any other. base_failed: fewer
     than min_words words, or over max_repeat of them in repeated windows. kept: not that, and at
     least min_left of its words stand in other lines. Returns doc_id, the figures, words_left,
     base_failed and kept. A null text has no words and fails; null hosts are one host. Repeated rows
     come back as often as they are given; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(host).cast("string").alias("host"), "text").withColumn("sum", F.xxhash64("host", "text"))
-    gone = boilerplate_words(rows, min_docs, max_share).select(F.col("id").alias("id_"), F.col("sum").alias("sum_"), "gone")
+    gone = boilerplate_words(rows, min_docs, max_share, most_docs).select(F.col("id").alias("id_"), F.col("sum").alias("sum_"), "gone")
     figures = rows.select("id", "sum", base_figures(F.col("text")).alias("f")).select("id", "sum", "f.*")
     joined = figures.join(gone, F.col("id").eqNullSafe(F.col("id_")) & (F.col("sum") == F.col("sum_")), "left")
     n, left = F.col("n_words"), F.col("words_left")
@@ -111,12 +116,14 @@ def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = 10, max
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """A null or empty text has no words and fails; see quality_rules."""
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-ORACLES = {
-    "op9_quality_rules": rf"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+def oracle(min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, most_docs: int = MOST_DOCS) -> str:
+    """The same as SQL over a view `documents`."""
+    return rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w,
                   string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS c FROM win) WHERE c > 1),
@@ -125,13 +132,15 @@ ln AS (SELECT doc_id, source, unnest(ls) AS line FROM d),
 lk AS (SELECT *, translate(trim(line, {SPACE_SQL}), {UPPER_SQL}) AS key FROM ln),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lk WHERE key <> '' GROUP BY doc_id),
 cnt AS (SELECT source, key, count(DISTINCT doc_id) AS docs FROM lk WHERE key <> '' GROUP BY source, key),
-host AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-above AS (SELECT cnt.source, key FROM cnt JOIN host USING (source) WHERE docs >= 10 AND docs > 0.01 * host.n),
-gone AS (SELECT lk.doc_id, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n FROM lk JOIN above USING (source, key) GROUP BY lk.doc_id),
+host AS (SELECT source, count(DISTINCT doc_id) AS n FROM documents GROUP BY source),
+above AS (SELECT cnt.source, key FROM cnt JOIN host USING (source) WHERE docs >= {min_docs} AND docs > least({max_share} * host.n, {most_docs})),
+gone AS (SELECT lk.doc_id, sum(len(regexp_extract_all(line, '[^ 	-]+'))) AS n FROM lk JOIN above USING (source, key) GROUP BY lk.doc_id),
 f AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
         coalesce(cov.n, 0)::BIGINT AS n_repeat_words, (len(w) - coalesce(gone.n, 0))::BIGINT AS words_left
       FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN gone USING (doc_id))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND words_left >= 0.5 * n_words AS kept FROM f"""
-}
+
+
+ORACLES = {"op9_quality_rules": oracle()}

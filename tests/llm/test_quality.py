@@ -2,7 +2,12 @@ import random
 import re
 from collections import Counter
 
-from spanforge.llm.quality import quality_rules
+import duckdb
+import pytest
+
+from spanforge.llm.quality import oracle, quality_rules
+
+from ..oracle import rows_of
 
 
 def slow(text):
@@ -38,6 +43,41 @@ def test_boilerplate_of_a_host(spark, docs_of):
 
 def test_edges(spark, docs_of):
     assert quality_rules(docs_of([])).collect() == []
-    text = "\n".join(f"line {i} with some more words" for i in range(20))
+    text = "\n".join(f"a{i} b{i} c{i} d{i} e{i} f{i}" for i in range(20))
     got = quality_rules(docs_of([(1, text), (1, text), (None, text)]).withColumn("source", __import__("pyspark").sql.functions.lit(None).cast("string")), min_docs=3).collect()
-    assert [r.words_left for r in got] == [0, 0, 0] and not any(r.kept for r in got)
+    # one document, however often it is there
+    assert [r.words_left for r in got] == [120, 120, 120] and all(r.kept for r in got)
+    got = quality_rules(docs_of([(1, text), (2, text), (3, text), (3, text), (None, text)]), min_docs=3).collect()
+    assert len(got) == 5 and all(r.words_left == 0 and not r.kept and not r.base_failed for r in got)
+
+
+def host_corpus():
+    """A large and a small host with shared lines; many documents consist of little else."""
+    rng = random.Random(6)
+    pool = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randrange(40)) for _ in range(12)) for _ in range(12)]
+    rows = []
+    for i in range(300):
+        own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(10)) for _ in range(rng.randrange(1, 9))]
+        lines = own + [rng.choice([x, x.upper(), f" {x}\t"]) for x in rng.sample(pool[: 12 if i % 3 else 4], rng.randrange(5) if i % 3 else 4)]
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines), "big" if i % 3 else "small"))
+    return rows
+
+
+@pytest.mark.parametrize("limits", [{"min_docs": 3, "max_share": 0.3, "most_docs": 1000}, {"min_docs": 3, "max_share": 0.9, "most_docs": 40}, {"min_docs": 10, "max_share": 0.01, "most_docs": 1000}])
+def test_verdict_matches_sql(spark, limits):
+    """Where the limits reject documents that the base rules don't."""
+    docs = spark.createDataFrame(host_corpus(), "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    got = quality_rules(docs, **limits).toPandas()
+    assert rows_of(got) == rows_of(con.execute(oracle(**limits)).df())
+    rejected = got[~got.kept & ~got.base_failed]
+    assert 10 < len(rejected) < 200
+
+
+def test_a_text_of_many_lines(spark, docs_of):
+    """Time grows with the lines, not with their square."""
+    text = "\n".join(f"a{i} b{i} c{i} d{i}" for i in range(100_000))
+    r = quality_rules(docs_of([(1, text), (2, "x")])).where("doc_id = 1").first()
+    assert (r.n_words, r.n_dup_lines, r.kept) == (400_000, 0, True)
