@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import Pattern
 from ..functions.text import soften
 from ..schema import DECISION_COLUMNS, MEDIA, REASON_CAP, SEQ
-from .ranges import by_media, range_exists_within
+from .ranges import by_media, overlaps, range_exists_within
 
 
 def _seq(df: DataFrame, *order) -> DataFrame:
@@ -21,7 +21,7 @@ def scan_lines(cues: DataFrame, lexicon: list[Pattern], actions: dict[str, str],
     """A decision for each cue with a match.
 
     The best match decides: strong before weak, then the more severe category, then the vocabulary's order.
-    Where its action is keep, the whole cue has none. The reason lists the distinct texts of all matches.
+    A category without an action is muted. Where the action is keep, the whole cue has none. The reason lists the distinct texts of all matches.
     Weak decisions then need a strong one within `window` seconds; None leaves them.
     """
     if not lexicon:
@@ -31,7 +31,7 @@ def scan_lines(cues: DataFrame, lexicon: list[Pattern], actions: dict[str, str],
 
     def hits_of(p: Pattern) -> Column:
         rank = [F.lit(0 if p.strong else 1).alias("weak"), F.lit(-p.severity).alias("mild"), F.lit(p.place).alias("place")]
-        what = [F.lit(p.category).alias("category"), F.lit(actions.get(p.category, "keep")).alias("action")]
+        what = [F.lit(p.category).alias("category"), F.lit(actions.get(p.category, "mute")).alias("action")]
         return F.transform(F.regexp_extract_all("text", F.lit(p.java), F.lit(0)), lambda m: F.struct(*rank, *what, F.lower(m).alias("text")))
 
     hits = [hits_of(p) for p in lexicon]
@@ -63,12 +63,13 @@ def _empty(cues: DataFrame):
     return _parse_datatype_string(DECISION).fields
 
 
-def scan_words(words: DataFrame, lexicon: list[Pattern], actions: dict[str, str], window: float | None = 30.0) -> DataFrame:
+def scan_words(words: DataFrame, lexicon: list[Pattern], actions: dict[str, str], replacements: dict[str, str] | None = None, window: float | None = 30.0) -> DataFrame:
     """Decisions from word timings: from each word the run of one, two or three words that first has a match to act on.
 
     The match may lie anywhere in the run, so that a word also fires for runs that begin one or two words
     before it. The more severe category decides, then strong before weak, then the vocabulary's order;
-    a run that is empty, or whose action is keep, leaves it to the next longer one.
+    a run that is empty, or whose action is keep, leaves it to the next longer one. A category without an
+    action is muted. The reason names what the deciding pattern matched, not the run.
     """
     order = by_media("pos")
     lead = lambda c, n: F.lead(c, n).over(order)
@@ -82,7 +83,7 @@ def scan_words(words: DataFrame, lexicon: list[Pattern], actions: dict[str, str]
                 *[
                     F.when(
                         text.rlike(p.java),
-                        F.struct(F.lit(-p.severity).alias("mild"), F.lit(0 if p.strong else 1).alias("weak"), F.lit(p.place).alias("place"), F.lit(p.category).alias("category"), F.lit(actions.get(p.category, "keep")).alias("action")),
+                        F.struct(F.lit(-p.severity).alias("mild"), F.lit(0 if p.strong else 1).alias("weak"), F.lit(p.place).alias("place"), F.lit(p.category).alias("category"), F.lit(actions.get(p.category, "mute")).alias("action"), F.lower(F.regexp_extract(text, p.java, 0)).alias("matched")),
                     )
                     for p in lexicon
                 ]
@@ -96,7 +97,7 @@ def scan_words(words: DataFrame, lexicon: list[Pattern], actions: dict[str, str]
         return words.select(MEDIA).where("false").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in _empty(words)])
     first = F.coalesce(run(["text"], "end"), run(["text", "_t1"], "_e1"), run(["text", "_t1", "_t2"], "_e2"))
     rows = ahead.withColumn("_r", first).where(F.col("_r").isNotNull())
-    label = F.concat(F.when(F.col("_r.best.weak") == 1, "weak: ").otherwise("matched: "), F.lower("_r.text"))
+    label = F.concat(F.when(F.col("_r.best.weak") == 1, "weak: ").otherwise("matched: "), F.col("_r.best.matched"))
     out = rows.select(
         MEDIA,
         "start",
@@ -105,7 +106,7 @@ def scan_words(words: DataFrame, lexicon: list[Pattern], actions: dict[str, str]
         F.col("_r.best.category").alias("category"),
         label.alias("reason"),
         F.col("_r.text").alias("text_before"),
-        F.lit("").alias("text_after"),
+        soften(F.col("_r.text"), replacements or {}).alias("text_after"),
         F.lit("whisper-word").alias("source"),
         F.lit(True).alias("accepted"),
         F.col("pos").alias("_at"),
@@ -146,9 +147,7 @@ def chunk_lines(cues: DataFrame, gap: float = 6.0, span: float = 90.0, least: in
 def review_context(edl: DataFrame, cues: DataFrame, most: int = 10) -> DataFrame:
     """(media_id, seq, place, idx, text): the first cues that overlap each row."""
     d = edl.select(MEDIA, SEQ, F.col("start").alias("_a"), F.col("end").alias("_b"))
-    near = d.join(cues, MEDIA).where((F.col("start") < F.col("_b")) & (F.col("end") > F.col("_a")))
-    from pyspark.sql import Window
-
+    near = overlaps(d, cues, "_a", "_b")
     order = Window.partitionBy(MEDIA, SEQ).orderBy("idx")
     return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select(MEDIA, SEQ, "place", "idx", "text")
 

@@ -63,8 +63,17 @@ def frame_numbers(samples: DataFrame, fps: float) -> DataFrame:
     return samples.withColumn("frame", F.rint(F.col("t") * fps).cast("bigint"))
 
 
-def frame_decisions(found: DataFrame, action: str, source: str) -> DataFrame:
-    """Streaks or shots as decisions."""
-    rows = found.withColumn("action", F.lit(action)).withColumn("category", F.lit("nudity")).withColumn("reason", F.array_join("classes", ", "))
+def streak_decisions(found: DataFrame, action: str) -> DataFrame:
+    """What streaks() finds, as decisions."""
+    return _decisions(found, F.concat(F.lit("visual streak ("), "samples", F.lit(" frames): ")), action, "visual")
+
+
+def shot_decisions(found: DataFrame, action: str) -> DataFrame:
+    """What shot_hits() finds, as decisions."""
+    return _decisions(found, F.concat(F.lit("shot "), "hits", F.lit("/"), "planned", F.lit(" frames flagged: ")), action, "visual-shot")
+
+
+def _decisions(found: DataFrame, why: Column, action: str, source: str) -> DataFrame:
+    rows = found.withColumn("action", F.lit(action)).withColumn("category", F.lit("nudity")).withColumn("reason", F.concat(why, F.array_join("classes", ", ")))
     rows = rows.withColumns({"text_before": F.lit(""), "text_after": F.lit(""), "source": F.lit(source), "accepted": F.lit(True), SEQ: F.lit(0).cast("bigint")})
     return rows.withColumn(SEQ, F.row_number().over(by_media("start", "end")).cast("bigint") - 1).select(DECISION_COLUMNS)

@@ -86,6 +86,36 @@ def stab(points: DataFrame, at: str, intervals: DataFrame, name: str = "hit") ->
     return last.select("_row.*", F.when(F.col("_key") < F.col("_hit.end"), F.col("_hit")).alias(name))
 
 
+def first_holding(points: DataFrame, at: str, intervals: DataFrame, name: str = "hit") -> DataFrame:
+    """points with the first interval, by (start, end), that holds `at`, both ends included, or null; intervals may overlap.
+
+    Only those that end later than all before them can be the first: both their ends rise, so that the first of them to
+    end at or after the point decides, found in one ordered stream.
+    """
+    before = Window.partitionBy(MEDIA).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    rising = intervals.select(MEDIA, "start", "end").withColumn("_reach", F.max("end").over(before)).where("_reach is null or end > _reach")
+    left = rising.select(MEDIA, F.col("end").alias("_key"), F.lit(1).alias("_side"), F.struct("start", "end").alias("_hit"))
+    rows = F.struct(*[F.col(f"`{c}`") for c in points.columns])
+    right = points.select(MEDIA, F.col(at).alias("_key"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_hit"].dataType).alias("_hit"), rows.alias("_row"))
+    both = left.withColumn("_row", F.lit(None).cast(right.schema["_row"].dataType)).unionByName(right)
+    from_here = Window.partitionBy(MEDIA).orderBy(F.desc("_key"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_hit", F.last("_hit", ignorenulls=True).over(from_here)).where(F.col("_row").isNotNull())
+    return met.select("_row.*", F.when(F.col("_hit.start") <= F.col("_key"), F.col("_hit")).alias(name))
+
+
+def overlaps(rows: DataFrame, others: DataFrame, start: str, end: str, width: float = 64.0) -> DataFrame:
+    """Pairs of rows [start, end] and others (start, end) of one item that overlap, touching ones not.
+
+    Both are spread over the stretches of `width` seconds that they reach into, and meet in the first that they have in common:
+    work follows the pairs that are near each other, not all pairs of an item.
+    """
+    slot = lambda c: F.floor(F.col(c) / width)
+    left = rows.withColumn("_from", slot(start)).withColumn("_slot", F.explode(F.sequence("_from", F.greatest("_from", slot(end)))))
+    right = others.withColumn("_from2", slot("start")).withColumn("_slot", F.explode(F.sequence("_from2", F.greatest("_from2", slot("end")))))
+    met = left.join(right, [MEDIA, "_slot"]).where((F.col("_slot") == F.greatest("_from", "_from2")) & (F.col("start") < F.col(end)) & (F.col("end") > F.col(start)))
+    return met.drop("_slot", "_from", "_from2")
+
+
 def merged(ranges: DataFrame) -> DataFrame:
     """Union of overlapping or touching ranges: (media_id, start, end). Needs no order of its own."""
     keyed = ranges.select(MEDIA, "start", "end", F.col("end").alias(SEQ))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fixed
 from ..schema import MEDIA
-from .ranges import merged
+from .ranges import first_holding, merged
 
 EDGE = 1e-4
 SHORTEST = 0.001
@@ -45,22 +45,14 @@ def shift(points: DataFrame, at: str, cuts: DataFrame, name: str) -> DataFrame:
     return last.select("_row.*", F.when(t.isNotNull(), moved).alias(name))
 
 
-def _containing(rows: DataFrame, key: str, at: str, cuts: DataFrame, name: str) -> DataFrame:
-    """rows with the first cut, by start, as given, that holds `at`, ends included; only rows within one are compared."""
-    c = cuts.select(F.col(MEDIA).alias("_m"), F.col("start").alias("_cs"), F.col("end").alias("_ce"))
-    held = rows.join(c, (F.col(MEDIA) == F.col("_m")) & (F.col("_cs") <= F.col(at)) & (F.col("_ce") >= F.col(at)))
-    first = held.groupBy(key).agg(F.min(F.struct("_cs", "_ce")).alias(name))
-    return rows.join(first, key, "left")
-
-
 def shift_ranges(ranges: DataFrame, cuts: DataFrame) -> DataFrame:
     """Mutes on the timeline without the cuts: (media_id, seq, start, end).
 
     A head within a cut begins at 0; a tail within one ends where the cut begins. Ranges wholly within cuts, or that end before they start, are gone.
     """
-    rows = shift(shift(ranges.withColumn("_id", F.struct(MEDIA, "seq")), "start", cuts, "_a"), "end", cuts, "_b")
-    inside = _containing(rows.where("_b is null and _a is not null").withColumn("_k", F.struct(MEDIA, "seq")), "_k", "end", cuts, "_c")
-    tails = shift(inside.withColumn("_t", F.col("_c._cs") - EDGE), "_t", cuts, "_b2").select(MEDIA, "seq", F.col("_a").alias("_s"), F.col("_b2").alias("_e"))
+    rows = shift(shift(ranges, "start", cuts, "_a"), "end", cuts, "_b")
+    inside = first_holding(rows.where("_b is null and _a is not null"), "end", cuts, "_c")
+    tails = shift(inside.withColumn("_t", F.col("_c.start") - EDGE), "_t", cuts, "_b2").select(MEDIA, "seq", F.col("_a").alias("_s"), F.col("_b2").alias("_e"))
     whole = rows.where("_b is not null").select(MEDIA, "seq", F.coalesce("_a", F.lit(0.0)).alias("_s"), F.col("_b").alias("_e"))
     return whole.unionByName(tails).where("_e > _s").select(MEDIA, "seq", F.col("_s").alias("start"), F.col("_e").alias("end"))
 
@@ -73,9 +65,9 @@ def shift_subtitles(cues: DataFrame, cuts: DataFrame) -> DataFrame:
     items = cuts.select(MEDIA).distinct().withColumn("_has", F.lit(True))
     marked = cues.join(items, MEDIA, "left")
     untouched = marked.where("_has is null").drop("_has").select(MEDIA, "idx", "start", "end", "text")
-    rows = shift(shift(marked.where("_has").drop("_has"), "start", cuts, "_a"), "end", cuts, "_b").where("_a is not null or _b is not null").withColumn("_k", F.struct(MEDIA, "idx"))
-    heads = _containing(rows, "_k", "start", cuts, "_h").withColumn("_hp", F.when(F.col("_a").isNull(), F.col("_h._ce") + EDGE))
-    tails = _containing(heads, "_k", "end", cuts, "_c").withColumn("_tp", F.when(F.col("_b").isNull(), F.col("_c._cs") - EDGE))
+    rows = shift(shift(marked.where("_has").drop("_has"), "start", cuts, "_a"), "end", cuts, "_b").where("_a is not null or _b is not null")
+    heads = first_holding(rows, "start", cuts, "_h").withColumn("_hp", F.when(F.col("_a").isNull(), F.col("_h.end") + EDGE))
+    tails = first_holding(heads, "end", cuts, "_c").withColumn("_tp", F.when(F.col("_b").isNull(), F.col("_c.start") - EDGE))
     placed = shift(shift(tails, "_hp", cuts, "_a2"), "_tp", cuts, "_b2")
     start = F.when(F.col("_a").isNotNull(), F.col("_a")).otherwise(F.coalesce("_a2", F.lit(0.0)))
     moved = placed.withColumn("_s", start).withColumn("_e", F.when(F.col("_b").isNotNull(), F.col("_b")).otherwise(F.coalesce("_b2", "_s"))).where("_e > _s")
@@ -112,6 +104,27 @@ def hardware_quality(quality: int) -> int:
     return max(30, min(100, 90 - 2 * quality))
 
 
+def encoder_arguments(encoder: str, quality: int) -> list[str]:
+    """What an ffmpeg command says of the video encoder: the hardware one, or the software one for any other name."""
+    if encoder == "videotoolbox":
+        return f"-c:v h264_videotoolbox -q:v {hardware_quality(quality)} -b:v 0".split()
+    return f"-c:v libx264 -preset slow -crf {quality}".split()
+
+
+def cut_commands(media: DataFrame, segments: DataFrame, cuts: DataFrame, encoder: str = "libx264", quality: int = 20) -> DataFrame:
+    """(media_id, arguments): what an ffmpeg is to be called with to take the cuts out of each item; media: media_id, video_path, output_path.
+
+    An item without cuts is copied; one of which nothing is left is an error.
+    """
+    has = cuts.select(MEDIA).distinct().withColumn("_has", F.lit(True))
+    rows = media.join(has, MEDIA, "left").join(cut_filter(segments), MEDIA, "left")
+    words = lambda *xs: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
+    whole = words("-y", "-i", F.col("video_path"), "-c", "copy", F.col("output_path"))
+    some = words("-y", "-i", F.col("video_path"), "-filter_complex", F.col("filter"), "-map", "[v]", "-map", "[a]", *encoder_arguments(encoder, quality), "-c:a", "aac", "-b:a", "192k", F.col("output_path"))
+    nothing = F.raise_error(F.concat(F.lit("nothing is left of item "), F.col(MEDIA))).cast("array<string>")
+    return rows.select(MEDIA, F.when(F.col("_has").isNull(), whole).when(F.col("filter").isNull(), nothing).otherwise(some).alias("arguments"))
+
+
 def render_plan(edl: DataFrame, cues: DataFrame, media: DataFrame, replacements: dict[str, str]) -> dict[str, DataFrame]:
     """All that an encoder needs: kept segments, mutes and softened cues on the new timeline, and the filters."""
     from ..functions.text import soften

@@ -6,13 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bound, confidence, is_true, truthy, verdict
-from ..schema import MEDIA, REASON_CAP
+from ..schema import DECISION_COLUMNS, MEDIA, REASON_CAP, SEQ
 from .ranges import by_media, range_exists
 
 VISION_KEYS = (("intimate", "sex"), ("explicit", "nudity"), ("drug_use", "drugs"), ("violence", "violence"))
 
 
-def flagged_categories(answers: DataFrame, cut_on: tuple[str, ...] = ("intimate", "explicit", "drug_use"), least: float = 0.55) -> DataFrame:
+#: What a vision verdict is cut for, unless told otherwise: intimate scenes are borderline.
+CUT_ON = ("explicit", "drug_use", "violence")
+
+
+def as_decisions(rows: DataFrame, source: str) -> DataFrame:
+    """rows (media_id, start, end, action, category, reason) as accepted decisions of a source, numbered by time."""
+    rows = rows.withColumns({"text_before": F.lit(""), "text_after": F.lit(""), "source": F.lit(source), "accepted": F.lit(True)})
+    return rows.withColumn(SEQ, F.row_number().over(by_media("start", "end", "category", "reason")).cast("bigint") - 1).select(DECISION_COLUMNS)
+
+
+def vision_verdicts(answers: DataFrame, model: str, cut_on: tuple[str, ...] = CUT_ON, least: float = 0.55) -> DataFrame:
+    """Decisions of frame verdicts: the shot (start, end) of an answer (raw) with flagged categories is cut."""
+    flagged = flagged_categories(answers, cut_on, least).where(F.size("flagged") > 0)
+    says = F.coalesce(F.try_variant_get(verdict(F.col("raw")), "$.description", "string"), F.lit(""))
+    rows = flagged.select(
+        MEDIA,
+        "start",
+        "end",
+        F.lit("cut").alias("action"),
+        F.array_join("flagged", "+").alias("category"),
+        F.concat(F.lit(f"VLM ({model}) "), F.array_join("flagged", ","), F.lit(": "), F.substring(says, 1, REASON_CAP)).alias("reason"),
+    )
+    return as_decisions(rows, "vlm")
+
+
+def flagged_categories(answers: DataFrame, cut_on: tuple[str, ...] = CUT_ON, least: float = 0.55) -> DataFrame:
     """answers (raw JSON text) with the categories that a sure enough verdict holds true, in the order of cut_on."""
     names = dict(VISION_KEYS)
 
@@ -23,29 +48,31 @@ def flagged_categories(answers: DataFrame, cut_on: tuple[str, ...] = ("intimate"
     return answers.withColumn("flagged", bound(verdict(F.col("raw")), flags))
 
 
-def dialogue_verdicts(answers: DataFrame, actions: dict[str, str], model: str, least: float = 0.6, pad: float = 1.0) -> DataFrame:
-    """Decisions (start, end, action, category, reason) of chunk verdicts that call for a cut.
+def dialogue_verdicts(answers: DataFrame, model: str, least: float = 0.6, pad: float = 1.0) -> DataFrame:
+    """Decisions of chunk verdicts that call for a cut.
 
-    The category is multi if not given; profanity is never cut here, and unknown categories aren't either.
+    The category is multi if not given; profanity is never cut here, and unknown categories, null among them, aren't either.
     """
     known = ("drugs", "sex", "violence", "multi")
 
     def fields(v: Column) -> Column:
         text = lambda k: F.try_variant_get(v, f"$.{k}", "string")
         sure = v.isNotNull() & truthy(v, "should_cut") & (confidence(v) >= least)
-        return F.struct(sure.alias("sure"), F.coalesce(text("category"), F.lit("multi")).alias("category"), F.coalesce(text("reasoning"), F.lit("")).alias("why"))
+        given = F.try_variant_get(v, "$.category", "variant").isNotNull()
+        return F.struct(sure.alias("sure"), F.when(given, text("category")).otherwise("multi").alias("category"), F.coalesce(text("reasoning"), F.lit("")).alias("why"))
 
     read = answers.withColumn("_f", bound(verdict(F.col("raw")), fields))
     named = read.where(F.col("_f.sure") & F.col("_f.category").isin(*known)).withColumn("category", F.col("_f.category"))
     why = F.col("_f.why")
-    return named.select(
+    rows = named.select(
         MEDIA,
         F.greatest(F.lit(0.0), F.col("start") - pad).alias("start"),
         (F.col("end") + pad).alias("end"),
         F.lit("cut").alias("action"),
         "category",
-        F.substring(F.concat(F.lit(f"LLM ({model}): "), why), 1, REASON_CAP).alias("reason"),
+        F.concat(F.lit(f"LLM ({model}): "), F.substring(why, 1, REASON_CAP)).alias("reason"),
     )
+    return as_decisions(rows, "llm-dialogue")
 
 
 def silent_shots(shots: DataFrame, cues: DataFrame) -> DataFrame:

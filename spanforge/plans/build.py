@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -36,8 +37,20 @@ class Inputs:
     replacements: dict[str, str] = field(default_factory=dict)
 
 
+def checkpoint_folder(spark) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one on a local master where that is unset."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is to name a folder that all executors share")
+        context.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="spanforge-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def or_nothing(make: Callable[[], DataFrame], like: DataFrame, what: str) -> DataFrame:
-    """A detector's rows, checkpointed so that its errors show here; none, and a warning, if it fails."""
+    """A detector's rows, checkpointed so that its errors show here; none, and a warning, if it fails. A missing checkpoint folder isn't the detector's fault, and is an error."""
+    checkpoint_folder(like.sparkSession)
     try:
         return make().checkpoint(eager=True)
     except Exception:
@@ -56,7 +69,7 @@ def build_edl(x: Inputs, s: Settings) -> DataFrame:
         cues = cues.join(x.words.select(MEDIA).distinct(), MEDIA, "left_anti")
     edl = scan_lines(cues, lexicon, s.actions, x.replacements, s.context_window)
     if x.words is not None:
-        edl = appended(edl, scan_words(x.words, lexicon, s.actions, s.context_window))
+        edl = appended(edl, scan_words(x.words, lexicon, s.actions, x.replacements, s.context_window))
     if x.visual is not None:
         edl = appended(edl, x.visual)
     edl = renumbered(merge_overlapping(pad(edl, s.pad), s.merge_gap))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from ..settings import Settings
 from ..sources import media as M
 from ..sources import subtitles as S
 from . import adapters as A
-from .build import Inputs, build_edl
+from .build import Inputs, build_edl, checkpoint_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,9 +39,9 @@ def oracles() -> dict[str, str]:
     return dict(ORACLES)
 
 
-def r6(c: str) -> Column:
-    """Sums of doubles hang on their order; rounded, they compare."""
-    return F.round(c, 6).alias(c)
+def r8(c: str) -> Column:
+    """Sums of doubles hang on their order; rounded, they compare. Times are multiples of 1 / 30 microseconds, so that none lies between two values of 8 places."""
+    return F.round(c, 8).alias(c)
 
 
 WITH_EDL = f"WITH {A.sql('edl')}"
@@ -112,27 +113,40 @@ def f9(spark, d):
 
 @query(
     "f10_flagged_categories",
-    f"""WITH {A.sql('answers')} SELECT media_id, k AS seq, CASE WHEN parses AND conf >= 0.55 THEN concat_ws('+', CASE WHEN flag = 0 THEN 'sex' END, CASE WHEN k % 3 = 0 THEN 'nudity' END) ELSE '' END AS flagged
-FROM answers""",
+    f"""WITH {A.sql('answers')} SELECT media_id, k AS seq, CASE WHEN parses AND conf >= 0.55 AND k % 3 = 0 THEN 'nudity' ELSE '' END AS flagged FROM answers""",
 )
 def f10(spark, d):
     return verdicts.flagged_categories(A.answers(spark, d)).select("media_id", "seq", F.array_join("flagged", "+").alias("flagged"))
 
 
+WITH_INTIMATE = ("intimate", "explicit")
+
+
+@query(
+    "f10_vision_verdicts",
+    f"""WITH {A.sql('answers')}, c AS (SELECT *, concat_ws('+', CASE WHEN flag = 0 THEN 'sex' END, CASE WHEN k % 3 = 0 THEN 'nudity' END) AS cats FROM answers WHERE parses AND conf >= 0.55)
+SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY s, k) - 1)::BIGINT AS seq, s AS start, s + 5.0::DOUBLE AS "end", 'cut' AS action, cats AS category,
+  'VLM (v) ' || replace(cats, '+', ',') || ': ' || substr('d' || why, 1, 160) AS reason, '' AS text_before, '' AS text_after, 'vlm' AS source, true AS accepted FROM c WHERE cats <> ''""",
+)
+def f10_vision(spark, d):
+    return verdicts.vision_verdicts(A.answers(spark, d), "v", WITH_INTIMATE)
+
+
 @query(
     "f11_llm_verdicts",
-    f"""WITH {A.sql('answers')} SELECT media_id, greatest(0.0::DOUBLE, s - 1.0::DOUBLE) AS start, s + 5.0::DOUBLE + 1.0::DOUBLE AS "end", 'cut' AS action, category, 'LLM (m): r' || (k % 11) AS reason
+    f"""WITH {A.sql('answers')} SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY greatest(0.0::DOUBLE, s - 1.0::DOUBLE), s) - 1)::BIGINT AS seq, greatest(0.0::DOUBLE, s - 1.0::DOUBLE) AS start,
+  s + 5.0::DOUBLE + 1.0::DOUBLE AS "end", 'cut' AS action, category, 'LLM (llama3.1:8b): ' || substr('r' || why, 1, 160) AS reason, '' AS text_before, '' AS text_after, 'llm-dialogue' AS source, true AS accepted
 FROM answers WHERE parses AND flag IN (0, 2, 3) AND conf >= 0.6 AND category IN ('drugs', 'sex', 'violence', 'multi')""",
 )
 def f11(spark, d):
-    return verdicts.dialogue_verdicts(A.answers(spark, d), {}, "m")
+    return verdicts.dialogue_verdicts(A.answers(spark, d), "llama3.1:8b")
 
 
 @query(
     "f12_audio_labels",
-    """WITH c AS (SELECT (user_id % 5)::BIGINT AS media_id, event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6::DOUBLE AS s, value / 10 AS len, value / 100 AS a, 1.0::DOUBLE - value / 100 AS b FROM events),
+    """WITH c AS (SELECT user_id::BIGINT AS media_id, event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3e7::DOUBLE AS s, value / 10 AS len, value / 100 AS a, 1.0::DOUBLE - value / 100 AS b FROM events),
 h AS (SELECT *, s + len AS e FROM c)
-SELECT media_id, s AS start, e AS "end", CASE WHEN a >= 0.45 THEN 'sex+violence' ELSE 'violence' END AS category,
+SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY s, e) - 1)::BIGINT AS seq, s AS start, e AS "end", 'cut' AS action, '' AS text_before, '' AS text_after, 'audio' AS source, true AS accepted, CASE WHEN a >= 0.45 THEN 'sex+violence' ELSE 'violence' END AS category,
   'audio event: ' || CASE WHEN a >= 0.45 AND (b < 0.45 OR a >= b) THEN 'Moan' ELSE 'Gunshot' END || ' (' || printf('%.2f', CASE WHEN a >= 0.45 AND (b < 0.45 OR a >= b) THEN a ELSE b END) || ')' AS reason
 FROM h WHERE e - s >= 1.0 AND (a >= 0.45 OR b >= 0.45)""",
 )
@@ -143,9 +157,9 @@ def f12(spark, d):
 # --- merging
 
 FOLD = """
-o AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY s, seq) AS rn FROM {rows}),
-r(media_id, rn, island, s, e, rank, category, source, reason, tb, ta, acc) AS (
-  SELECT media_id, rn, 0::BIGINT, s, e, {rank}, category, source, reason, text_before, text_after, accepted FROM o WHERE rn = 1
+{out}_o AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY s, seq) AS rn FROM {rows}),
+{out}_r(media_id, rn, island, s, e, rank, category, source, reason, tb, ta, acc) AS (
+  SELECT media_id, rn, 0::BIGINT, s, e, {rank}, category, source, reason, text_before, text_after, accepted FROM {out}_o WHERE rn = 1
   UNION ALL
   SELECT o.media_id, o.rn, CASE WHEN o.s <= r.e + {gap} THEN r.island ELSE r.island + 1 END, CASE WHEN o.s <= r.e + {gap} THEN r.s ELSE o.s END,
     CASE WHEN o.s <= r.e + {gap} THEN greatest(r.e, o.e) ELSE o.e END, CASE WHEN o.s <= r.e + {gap} THEN greatest(r.rank, {orank}) ELSE {orank} END,
@@ -153,15 +167,14 @@ r(media_id, rn, island, s, e, rank, category, source, reason, tb, ta, acc) AS (
     CASE WHEN o.s > r.e + {gap} THEN o.source WHEN contains(r.source, o.source) THEN r.source ELSE r.source || '+' || o.source END,
     CASE WHEN o.s > r.e + {gap} THEN o.reason WHEN contains(r.reason, o.reason) THEN r.reason ELSE trim(r.reason || '; ' || o.reason, '; ') END,
     CASE WHEN o.s <= r.e + {gap} THEN r.tb ELSE o.text_before END, CASE WHEN o.s <= r.e + {gap} THEN r.ta ELSE o.text_after END, CASE WHEN o.s <= r.e + {gap} THEN r.acc ELSE o.accepted END
-  FROM r JOIN o ON o.media_id = r.media_id AND o.rn = r.rn + 1),
-merged AS (SELECT media_id, island AS seq, s, e, CASE rank WHEN 0 THEN 'keep' WHEN 1 THEN 'mute' ELSE 'cut' END AS action, category, source, reason, tb AS text_before, ta AS text_after, acc AS accepted
-  FROM r QUALIFY row_number() OVER (PARTITION BY media_id, island ORDER BY rn DESC) = 1)
-"""
+  FROM {out}_r r JOIN {out}_o o ON o.media_id = r.media_id AND o.rn = r.rn + 1),
+{out} AS (SELECT media_id, island AS seq, s, e, CASE rank WHEN 0 THEN 'keep' WHEN 1 THEN 'mute' ELSE 'cut' END AS action, category, reason, tb AS text_before, ta AS text_after, source, acc AS accepted
+  FROM {out}_r QUALIFY row_number() OVER (PARTITION BY media_id, island ORDER BY rn DESC) = 1)"""
 
 
-def fold_sql(rows: str, gap: str) -> str:
+def fold_sql(rows: str, gap: str, out: str = "merged") -> str:
     rank = "CASE {}action WHEN 'keep' THEN 0 WHEN 'mute' THEN 1 ELSE 2 END"
-    return FOLD.format(rows=rows, gap=gap, rank=rank.format(""), orank=rank.format("o."))
+    return FOLD.format(rows=rows, gap=gap, out=out, rank=rank.format(""), orank=rank.format("o."))
 
 
 ROW_SQL = 'SELECT media_id, seq, s AS start, e AS "end", action, category, reason, text_before, text_after, source, accepted FROM'
@@ -194,7 +207,7 @@ SEGMENTS_SQL = f"""
 k AS (SELECT media_id, greatest(0.0::DOUBLE, s) AS s, least(e, {HALF}::DOUBLE) AS e, s AS o FROM cuts),
 g AS (SELECT *, greatest(0.0::DOUBLE, coalesce(max(e) OVER (PARTITION BY media_id ORDER BY o, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS prev FROM k),
 seg AS (SELECT * FROM (SELECT media_id, prev AS s, s AS e FROM g WHERE e > prev AND s > prev
-  UNION ALL SELECT m.media_id, greatest(0.0::DOUBLE, coalesce(max(e), 0.0)), {HALF}::DOUBLE FROM range(5) m(media_id) LEFT JOIN k ON k.media_id = m.media_id GROUP BY m.media_id) WHERE e - s > 0.001)"""
+  UNION ALL SELECT m.media_id, greatest(0.0::DOUBLE, coalesce(max(e), 0.0)), {HALF}::DOUBLE FROM (SELECT DISTINCT user_id::BIGINT AS media_id FROM events) m LEFT JOIN k ON k.media_id = m.media_id GROUP BY m.media_id) WHERE e - s > 0.001)"""
 
 
 def half_media(spark, d):
@@ -206,27 +219,27 @@ def m4(spark, d):
     return timeline.keep_segments(half_media(spark, d), decisions.action_ranges(A.edl(spark, d), "cut"))
 
 
-DENSE_SQL = f"""
-ev AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY s, seq) AS rn FROM edl WHERE accepted AND action IN ('mute', 'cut') AND {overlap('source', decisions.DIALOGUE_SOURCES)}),
-f AS (SELECT a.media_id, a.rn, a.s, a.e, a.category, (SELECT count(*) FROM ev b WHERE b.media_id = a.media_id AND b.rn >= a.rn AND b.s <= a.s + 3600.0) AS ahead,
-  (SELECT count(*) FROM ev b WHERE b.media_id = a.media_id AND b.rn <= a.rn AND b.s >= a.s - 3600.0) AS behind FROM ev a),
-r(media_id, rn, cl, first, e, n, cats) AS (
-  SELECT media_id, rn, CASE WHEN ahead >= 4 THEN 1 ELSE 0 END, CASE WHEN ahead >= 4 THEN s END, e, CASE WHEN ahead >= 4 THEN 1 ELSE 0 END, [category] FROM f WHERE rn = 1
+def dense_sql(rows: str, window: str, least: int) -> str:
+    on = f"r.first IS NOT NULL AND (f.s <= r.first + {window} OR f.behind >= {least})"
+    return f"""
+d_ev AS (SELECT * REPLACE (split_part(category, '+', 1) AS category), row_number() OVER (PARTITION BY media_id ORDER BY s, seq) AS rn FROM {rows} WHERE accepted AND action IN ('mute', 'cut') AND {overlap('source', decisions.DIALOGUE_SOURCES)}),
+d_f AS (SELECT a.media_id, a.rn, a.s, a.e, a.category, (SELECT count(*) FROM d_ev b WHERE b.media_id = a.media_id AND b.rn >= a.rn AND b.s <= a.s + {window}) AS ahead,
+  (SELECT count(*) FROM d_ev b WHERE b.media_id = a.media_id AND b.rn <= a.rn AND b.s >= a.s - {window}) AS behind FROM d_ev a),
+d_r(media_id, rn, cl, first, e, n, cats) AS (
+  SELECT media_id, rn, CASE WHEN ahead >= {least} THEN 1 ELSE 0 END, CASE WHEN ahead >= {least} THEN s END, e, CASE WHEN ahead >= {least} THEN 1 ELSE 0 END, [category] FROM d_f WHERE rn = 1
   UNION ALL
-  SELECT f.media_id, f.rn, CASE WHEN r.first IS NOT NULL AND (f.s <= r.first + 3600.0 OR f.behind >= 4) THEN r.cl WHEN f.ahead >= 4 THEN r.cl + 1 ELSE r.cl END,
-    CASE WHEN r.first IS NOT NULL AND (f.s <= r.first + 3600.0 OR f.behind >= 4) THEN r.first WHEN f.ahead >= 4 THEN f.s END,
-    CASE WHEN r.first IS NOT NULL AND (f.s <= r.first + 3600.0 OR f.behind >= 4) THEN greatest(r.e, f.e) ELSE f.e END,
-    CASE WHEN r.first IS NOT NULL AND (f.s <= r.first + 3600.0 OR f.behind >= 4) THEN r.n + 1 ELSE 1 END,
-    CASE WHEN r.first IS NOT NULL AND (f.s <= r.first + 3600.0 OR f.behind >= 4) THEN list_append(r.cats, f.category) ELSE [f.category] END
-  FROM r JOIN f ON f.media_id = r.media_id AND f.rn = r.rn + 1),
-cl AS (SELECT * FROM r WHERE first IS NOT NULL QUALIFY row_number() OVER (PARTITION BY media_id, cl ORDER BY rn DESC) = 1)"""
-
-
-@query(
-    "m5_density_clusters",
-    f"""WITH RECURSIVE {A.sql('edl')}, {DENSE_SQL} SELECT media_id, greatest(0.0::DOUBLE, first - 1.0::DOUBLE) AS start, e + 1.0::DOUBLE AS "end", array_to_string(list_sort(list_distinct(cats)), '+') AS category,
-'density: ' || n || ' events in ' || printf('%.1f', e - first) || 's window' AS reason, n FROM cl WHERE e - first >= 8.0""",
-)
+  SELECT f.media_id, f.rn, CASE WHEN {on} THEN r.cl WHEN f.ahead >= {least} THEN r.cl + 1 ELSE r.cl END,
+    CASE WHEN {on} THEN r.first WHEN f.ahead >= {least} THEN f.s END,
+    CASE WHEN {on} THEN greatest(r.e, f.e) ELSE f.e END,
+    CASE WHEN {on} THEN r.n + 1 ELSE 1 END,
+    CASE WHEN {on} THEN list_append(r.cats, f.category) ELSE [f.category] END
+  FROM d_r r JOIN d_f f ON f.media_id = r.media_id AND f.rn = r.rn + 1),
+d_cl AS (SELECT * FROM d_r WHERE first IS NOT NULL QUALIFY row_number() OVER (PARTITION BY media_id, cl ORDER BY rn DESC) = 1),
+dense AS (SELECT media_id, greatest(0.0::DOUBLE, first - 1.0::DOUBLE) AS s, e + 1.0::DOUBLE AS e, array_to_string(list_sort(list_distinct(cats)), '+') AS category,
+  'density: ' || n || ' events in ' || printf('%.1f', e - first) || 's window' AS reason, n FROM d_cl WHERE e - first >= 8.0)"""
+
+
+@query("m5_density_clusters", f"WITH RECURSIVE {A.sql('edl')}, {dense_sql('edl', '3600.0', 4)} SELECT media_id, s AS start, e AS \"end\", category, reason, n FROM dense")
 def m5(spark, d):
     return cluster.density_clusters(A.edl(spark, d), 3600.0, 4)
 
@@ -251,22 +264,34 @@ def m6(spark, d):
 @query(
     "m7_streaks",
     f"""WITH {A.sql('frames')}, n AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY media_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM frames),
-g AS (SELECT media_id, min(t) AS s, max(t) + 1.0::DOUBLE AS e, array_to_string(list_sort(list_distinct(list(cls))), '+') AS classes FROM n WHERE hit GROUP BY media_id, run)
-SELECT media_id, s AS start, e AS "end", greatest(1, round_even(e - s, 0))::INT AS samples, classes FROM g WHERE greatest(1, round_even(e - s, 0)) >= 3""",
+g AS (SELECT media_id, min(t) AS s, max(t) + 1.0::DOUBLE AS e, array_to_string(list_sort(list_distinct(list(cls))), ', ') AS classes FROM n WHERE hit GROUP BY media_id, run)
+SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY s) - 1)::BIGINT AS seq, s AS start, e AS "end", 'cut' AS action, 'visual streak (' || greatest(1, round_even(e - s, 0))::INT || ' frames): ' || classes AS reason, 'visual' AS source
+FROM g WHERE greatest(1, round_even(e - s, 0)) >= 3""",
 )
 def m7(spark, d):
     hits = frames.explicit_frames(A.frames(spark, d), A.EXPLICIT, 0.1)
-    return frames.streaks(hits, 1.0).select("media_id", "start", "end", "samples", F.array_join("classes", "+").alias("classes"))
+    return frames.streak_decisions(frames.streaks(hits, 1.0), "cut").select("media_id", "seq", "start", "end", "action", "reason", "source")
+
+
+def planned_hits(spark, d):
+    """Samples planned for the shots, and whether they hit: what a sample shows follows from its frame's number."""
+    planned = frames.frame_numbers(frames.planned_samples(A.shots(spark, d), 150.0), 23.976)
+    shown = F.element_at(F.array(*[F.lit(x) for x in ("view", "error", "click", "signup", "purchase")]), (F.col("frame") % 5 + 1).cast("int"))
+    seen = planned.withColumn("detections", F.array(F.struct(shown.alias("class"), (F.col("frame") % 100 / 100).alias("score"))))
+    return frames.explicit_frames(seen, A.EXPLICIT, 0.1)
 
 
 @query(
     "m8_shot_hits",
-    f"""WITH {A.sql('frames', 'shots')} SELECT f.media_id, shot_idx, count(*) AS hits, array_to_string(list_sort(list_distinct(list(cls))), '+') AS classes
-FROM frames f JOIN shots ON f.media_id = shots.media_id AND shots.s <= f.at AND f.at < shots.e WHERE hit GROUP BY f.media_id, shot_idx HAVING count(*) >= 1 AND count(*) / 4.0 >= 0.25""",
+    f"""WITH {A.sql('shots')}, p AS (SELECT media_id, shot_idx, s, e, round_even((s + (e - s) * (k + 0.5::DOUBLE) / 4) * 23.976::DOUBLE, 0)::BIGINT AS f FROM shots, range(4) t(k)),
+h AS (SELECT media_id, shot_idx, s, e, CASE f % 5 WHEN 0 THEN 'view' WHEN 2 THEN 'click' ELSE 'signup' END AS cls FROM p WHERE f % 5 IN (0, 2, 3) AND (f % 100) / 100.0 >= 0.1),
+g AS (SELECT media_id, shot_idx, any_value(s) AS s, any_value(e) AS e, count(*) AS n, array_to_string(list_sort(list_distinct(list(cls))), ', ') AS classes FROM h GROUP BY media_id, shot_idx HAVING count(*) >= 2 AND count(*) / 4.0 >= 0.5)
+SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY s) - 1)::BIGINT AS seq, s AS start, e AS "end", 'shot ' || n || '/4 frames flagged: ' || classes AS reason, 'visual-shot' AS source,
+  'cut' AS action, 'nudity' AS category, '' AS text_before, '' AS text_after, true AS accepted FROM g""",
 )
 def m8(spark, d):
-    hits = frames.explicit_frames(A.frames(spark, d), A.EXPLICIT, 0.1).withColumn("t", F.col("at"))
-    return frames.shot_hits(A.shots(spark, d), hits, 150.0, 0.25, 1).select("media_id", "shot_idx", "hits", F.array_join("classes", "+").alias("classes"))
+    found = frames.shot_hits(A.shots(spark, d), planned_hits(spark, d), 150.0)
+    return frames.shot_decisions(found, "cut")
 
 
 @query(
@@ -297,14 +322,14 @@ def hit_sql(column: str, word: str) -> str:
     return f"regexp_matches({column}, '(?i)(^|[^\\p{{L}}\\p{{N}}_]){word}([^\\p{{L}}\\p{{N}}_]|$)')"
 
 
-def _lines_sql(actions: dict[str, str]) -> str:
+def _lines_sql(actions: dict[str, str], rows: str = "subs", patterns: list = PATTERNS) -> str:
     sev = {"profanity": 1, "drugs": 3, "sex": 4}
     hits = " UNION ALL ".join(
-        f"SELECT media_id, idx, s, e, {0 if strong else 1} AS weak, {-sev[c]} AS mild, {i} AS place, '{c}' AS category, '{actions[c]}' AS action, '{w}' AS word FROM subs WHERE {hit_sql('text', w)}" for i, (c, w, strong) in enumerate(PATTERNS)
+        f"SELECT media_id, idx, s, e, {0 if strong else 1} AS weak, {-sev.get(c, 0)} AS mild, {i} AS place, '{c}' AS category, '{actions.get(c, 'mute')}' AS action, '{w}' AS word, text FROM {rows} WHERE {hit_sql('text', w)}" for i, (c, w, strong) in enumerate(patterns)
     )
     return f"""
 h AS ({hits}),
-b AS (SELECT media_id, idx, any_value(s) AS s, any_value(e) AS e, arg_min(action, weak * 10000 + (mild + 10) * 100 + place) AS action, arg_min(category, weak * 10000 + (mild + 10) * 100 + place) AS category,
+b AS (SELECT media_id, idx, any_value(s) AS s, any_value(e) AS e, any_value(text) AS text, arg_min(action, weak * 10000 + (mild + 10) * 100 + place) AS action, arg_min(category, weak * 10000 + (mild + 10) * 100 + place) AS category,
   min(weak) AS weak, string_agg(DISTINCT word, ', ' ORDER BY word) AS ws FROM h GROUP BY media_id, idx),
 lines AS (SELECT *, CASE weak WHEN 1 THEN 'weak: ' ELSE 'matched: ' END || ws AS reason FROM b WHERE action <> 'keep')"""
 
@@ -325,9 +350,9 @@ def c1(spark, d):
     return found.select("media_id", "start", "end", "action", "category", "reason")
 
 
-def _words_sql() -> str:
+def _words_sql(patterns: list = PATTERNS) -> str:
     sev = {"profanity": 1, "drugs": 3, "sex": 4}
-    ranked = sorted(((-sev[c], 0 if strong else 1, i, c, w) for i, (c, w, strong) in enumerate(PATTERNS)))
+    ranked = sorted(((-sev.get(c, 0), 0 if strong else 1, i, c, w) for i, (c, w, strong) in enumerate(patterns)))
     best = lambda col: "CASE " + " ".join(f"WHEN {hit_sql(col, w)} THEN {n}" for n, (*_, w) in enumerate(ranked)) + " END"
     pick = lambda values: "CASE k " + " ".join(f"WHEN {n} THEN '{v}'" for n, v in enumerate(values)) + " END"
     return f"""
@@ -336,17 +361,39 @@ g AS (SELECT *, trim(text, ' .,!?-') AS g1, trim(text || ' ' || t1, ' .,!?-') AS
 k AS (SELECT *, {best('g1')} AS k1, {best('g2')} AS k2, {best('g3')} AS k3 FROM g),
 f AS (SELECT media_id, pos, s, CASE WHEN k1 IS NOT NULL THEN e WHEN k2 IS NOT NULL THEN e1 ELSE e2 END AS e, coalesce(k1, k2, k3) AS k,
   CASE WHEN k1 IS NOT NULL THEN g1 WHEN k2 IS NOT NULL THEN g2 ELSE g3 END AS said FROM k WHERE coalesce(k1, k2, k3) IS NOT NULL),
-v AS (SELECT *, {pick([c for *_, c, _ in ranked])} AS category, {pick(['weak' if weak else 'matched' for _, weak, *_ in ranked])} AS strength FROM f)"""
+v AS (SELECT *, {pick([w for *_, w in ranked])} AS word, {pick([c for *_, c, _ in ranked])} AS category, {pick(['weak' if weak else 'matched' for _, weak, *_ in ranked])} AS strength FROM f)"""
+
+
+#: Phrases for softening: no key holds another one, so that they can be replaced one after another.
+SOFT = {"this": "that", "with": "by", "de la": "du", "que": "qui", "und": "oder", "les": "des"}
+
+
+def soften_sql(column: str, replacements: dict[str, str]) -> str:
+    """Single words token by token, phrases of two before them; as given, in capitals, or with one."""
+    say = lambda x: f"'{x}'"
+    for key, new in replacements.items():
+        if " " in key:
+            a, b = key.split(" ")
+            any_case = lambda w: "".join(f"[{c}{c.upper()}]" for c in w)
+            edge, after = "(^|[^\\p{L}\\p{N}_])", "([^\\p{L}\\p{N}_]|$)"
+            for what, text in ((f"{a.upper()} {b.upper()}", new.upper()), (f"{a[0].upper()}{any_case(a[1:])} {any_case(b)}", new.capitalize()), (f"{a[0]}{any_case(a[1:])} {any_case(b)}", new)):
+                for _ in range(2):  # neighbours share the character between them
+                    column = f"regexp_replace({column}, '{edge}{what}{after}', '\\1{text}\\2', 'g')"
+    words = {k: v for k, v in replacements.items() if " " not in k}
+    map_ = "MAP {" + ", ".join(f"{say(k)}: {say(v)}" for k, v in words.items()) + "}"
+    new = f"({map_})[lower(t)]"
+    case = f"CASE WHEN {new} IS NULL THEN t WHEN t = upper(t) THEN upper({new}) WHEN t[1] = upper(t[1]) THEN upper({new}[1]) || {new}[2:] ELSE {new} END"
+    return f"array_to_string(list_transform(regexp_extract_all({column}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), lambda t: {case}), '')"
 
 
 @query(
     "d2_word_scan",
-    f"""WITH {A.sql('words')}, {_words_sql()} SELECT media_id, s AS start, e AS "end", category, strength || ': ' || lower(said) AS reason FROM v d
+    f"""WITH {A.sql('words')}, {_words_sql()} SELECT media_id, s AS start, e AS "end", category, strength || ': ' || word AS reason, said AS text_before, {soften_sql('said', SOFT)} AS text_after FROM v d
 WHERE strength = 'matched' OR EXISTS (SELECT 1 FROM v t WHERE t.media_id = d.media_id AND t.strength = 'matched' AND t.e + 5 >= d.s AND t.s - 5 <= d.e)""",
 )
 def d2(spark, d):
-    found = dialogue.scan_words(A.words(spark, d), A.vocabulary(), A.ACTIONS, 5.0)
-    return found.select("media_id", "start", "end", "category", "reason")
+    found = dialogue.scan_words(A.words(spark, d), A.vocabulary(), A.ACTIONS, SOFT, 5.0)
+    return found.select("media_id", "start", "end", "category", "reason", "text_before", "text_after")
 
 
 # --- range joins
@@ -399,39 +446,35 @@ def c6(spark, d):
     return snap.snap(A.edl(spark, d), A.shots(spark, d)).select("media_id", "seq", "start", "end", "reason")
 
 
-FEW_SQL = "few AS (SELECT * FROM edl WHERE action = 'cut' AND accepted AND seq % 3 = 0)"
-TIMES_SQL = f"""{A.sql('edl')}, {FEW_SQL}, {MERGED_SQL.format(rows='few')},
+CUT_ROWS_SQL = "cut_rows AS (SELECT * FROM edl WHERE action = 'cut' AND accepted)"
+TIMES_SQL = f"""{A.sql('edl')}, {CUT_ROWS_SQL}, {MERGED_SQL.format(rows='cut_rows')},
 mc AS (SELECT *, sum(e - s) OVER (PARTITION BY media_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS gone FROM mr)"""
 
 
-def few_cuts(spark, d):
-    return decisions.by_action(A.edl(spark, d), "cut").where("seq % 3 = 0")
-
-
 def moved_sql(t: str, m: str) -> str:
     """The shifted time as a scalar: NULL within a cut."""
     last = f"(SELECT {{}} FROM mc WHERE mc.media_id = {m} AND mc.s <= {t} ORDER BY mc.s DESC LIMIT 1)"
     return f"CASE WHEN {last.format('mc.e')} IS NULL THEN greatest(0.0::DOUBLE, {t}) WHEN {t} <= {last.format('mc.e')} THEN NULL ELSE greatest(0.0::DOUBLE, {t} - {last.format('mc.gone')}) END"
 
 
-@query("c7_shift_after_cuts", f"WITH {TIMES_SQL} SELECT media_id, seq, round({moved_sql('edl.s', 'edl.media_id')}, 6) AS moved FROM edl")
+@query("c7_shift_after_cuts", f"WITH {TIMES_SQL} SELECT media_id, seq, round({moved_sql('edl.s', 'edl.media_id')}, 8) AS moved FROM edl")
 def c7(spark, d):
-    return timeline.shift(A.edl(spark, d), "start", few_cuts(spark, d), "moved").select("media_id", "seq", r6("moved"))
+    return timeline.shift(A.edl(spark, d), "start", decisions.by_action(A.edl(spark, d), "cut"), "moved").select("media_id", "seq", r8("moved"))
 
 
-FIRST_SQL = "(SELECT min({}) FROM few WHERE few.media_id = {} AND few.s <= {} AND few.e >= {})"
+FIRST_SQL = "(SELECT min({}) FROM cut_rows WHERE cut_rows.media_id = {} AND cut_rows.s <= {} AND cut_rows.e >= {})"
 
 
 @query(
     "c8_shift_ranges",
-    f"""WITH {TIMES_SQL}, q AS (SELECT *, {moved_sql('edl.s', 'edl.media_id')} AS a, {moved_sql('edl.e', 'edl.media_id')} AS b, {FIRST_SQL.format('few.s', 'edl.media_id', 'edl.e', 'edl.e')} - 1e-4::DOUBLE AS tp FROM edl WHERE action = 'mute' AND accepted),
+    f"""WITH {TIMES_SQL}, q AS (SELECT *, {moved_sql('edl.s', 'edl.media_id')} AS a, {moved_sql('edl.e', 'edl.media_id')} AS b, {FIRST_SQL.format('cut_rows.s', 'edl.media_id', 'edl.e', 'edl.e')} - 1e-4::DOUBLE AS tp FROM edl WHERE action = 'mute' AND accepted),
 p AS (SELECT *, {moved_sql('q.tp', 'q.media_id')} AS b2 FROM q),
 z AS (SELECT media_id, seq, coalesce(a, 0.0::DOUBLE) AS s, coalesce(b, b2) AS e FROM p WHERE a IS NOT NULL OR b IS NOT NULL)
-SELECT media_id, seq, round(s, 6) AS start, round(e, 6) AS "end" FROM z WHERE e > s""",
+SELECT media_id, seq, round(s, 8) AS start, round(e, 8) AS "end" FROM z WHERE e > s""",
 )
 def c8(spark, d):
-    out = timeline.shift_ranges(decisions.by_action(A.edl(spark, d), "mute"), few_cuts(spark, d))
-    return out.select("media_id", "seq", r6("start"), r6("end"))
+    out = timeline.shift_ranges(decisions.by_action(A.edl(spark, d), "mute"), decisions.by_action(A.edl(spark, d), "cut"))
+    return out.select("media_id", "seq", r8("start"), r8("end"))
 
 
 def as_cues(spark, d):
@@ -441,13 +484,13 @@ def as_cues(spark, d):
 @query(
     "c9_adjust_subtitles",
     f"""WITH {TIMES_SQL}, q AS (SELECT *, {moved_sql('edl.s', 'edl.media_id')} AS a, {moved_sql('edl.e', 'edl.media_id')} AS b,
-  (SELECT few.e FROM few WHERE few.media_id = edl.media_id AND few.s <= edl.s AND few.e >= edl.s ORDER BY few.s, few.e LIMIT 1) + 1e-4::DOUBLE AS hp, {FIRST_SQL.format('few.s', 'edl.media_id', 'edl.e', 'edl.e')} - 1e-4::DOUBLE AS tp FROM edl WHERE action = 'mute'),
+  (SELECT cut_rows.e FROM cut_rows WHERE cut_rows.media_id = edl.media_id AND cut_rows.s <= edl.s AND cut_rows.e >= edl.s ORDER BY cut_rows.s, cut_rows.e LIMIT 1) + 1e-4::DOUBLE AS hp, {FIRST_SQL.format('cut_rows.s', 'edl.media_id', 'edl.e', 'edl.e')} - 1e-4::DOUBLE AS tp FROM edl WHERE action = 'mute'),
 p AS (SELECT *, {moved_sql('q.hp', 'q.media_id')} AS a2, {moved_sql('q.tp', 'q.media_id')} AS b2 FROM q WHERE a IS NOT NULL OR b IS NOT NULL),
 z AS (SELECT media_id, seq, reason, coalesce(a, a2, 0.0::DOUBLE) AS s, CASE WHEN b IS NOT NULL THEN b ELSE coalesce(b2, a, a2, 0.0::DOUBLE) END AS e FROM p)
-SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seq)::INT AS idx, round(s, 6) AS start, round(e, 6) AS "end", reason AS text FROM z WHERE e > s""",
+SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY seq)::INT AS idx, round(s, 8) AS start, round(e, 8) AS "end", reason AS text FROM z WHERE e > s""",
 )
 def c9(spark, d):
-    return timeline.shift_subtitles(as_cues(spark, d), few_cuts(spark, d)).select("media_id", "idx", r6("start"), r6("end"), "text")
+    return timeline.shift_subtitles(as_cues(spark, d), decisions.by_action(A.edl(spark, d), "cut")).select("media_id", "idx", r8("start"), r8("end"), "text")
 
 
 @query(
@@ -465,12 +508,12 @@ def c10(spark, d):
 @query(
     "f14_add_cut",
     f"""WITH RECURSIVE {A.sql('edl')}, al AS (SELECT media_id, seq, s, e, action, category, reason, text_before, text_after, source, accepted FROM edl
-  UNION ALL SELECT i, 1000000000 + i, 5000.0::DOUBLE, 5600.0::DOUBLE, 'cut', 'sex', 'by hand', '', '', 'manual', true FROM range(5) t(i)),
+  UNION ALL SELECT DISTINCT user_id::BIGINT, 1000000000 + user_id, 5000.0::DOUBLE, 5600.0::DOUBLE, 'cut', 'sex', 'by hand', '', '', 'manual', true FROM events),
 nb AS (SELECT * REPLACE ((row_number() OVER (PARTITION BY media_id ORDER BY s, e, seq) - 1) AS seq) FROM al), {fold_sql('nb', '0.5::DOUBLE')} {ROW_SQL} merged""",
 )
 def f14(spark, d):
-    rows = spark.range(5).select(
-        F.col("id").alias("media_id"), F.lit(0).cast("bigint").alias("seq"), F.lit(5000.0).alias("start"), F.lit(5600.0).alias("end"), F.lit("cut").alias("action"), F.lit("sex").alias("category"), F.lit("by hand").alias("reason"), F.lit("").alias("text_before"), F.lit("").alias("text_after")
+    rows = A.media(spark, d).select(
+        "media_id", F.lit(0).cast("bigint").alias("seq"), F.lit(5000.0).alias("start"), F.lit(5600.0).alias("end"), F.lit("cut").alias("action"), F.lit("sex").alias("category"), F.lit("by hand").alias("reason"), F.lit("").alias("text_before"), F.lit("").alias("text_after")
     )
     return decisions.add_cut(A.edl(spark, d), rows)
 
@@ -500,11 +543,12 @@ def a1(spark, d):
 @query(
     "a2_totals",
     f"""{WITH_EDL} SELECT media_id, count(*) FILTER (accepted AND action = 'mute') AS n_mute, count(*) FILTER (accepted AND action = 'cut') AS n_cut, count(*) FILTER (NOT accepted) AS n_rejected,
-round(coalesce(sum(greatest(0.0, e - s)) FILTER (accepted AND action = 'mute'), 0.0), 4) AS t_mute, round(coalesce(sum(greatest(0.0, e - s)) FILTER (accepted AND action = 'cut'), 0.0), 4) AS t_cut FROM edl GROUP BY media_id""",
+round(coalesce(sum(greatest(0.0, e - s)) FILTER (accepted AND action = 'mute'), 0.0), 4) AS t_mute, round(coalesce(sum(greatest(0.0, e - s)) FILTER (accepted AND action = 'cut'), 0.0), 4) AS t_cut,
+round(100 * coalesce(sum(greatest(0.0, e - s)) FILTER (accepted AND action = 'cut'), 0.0) / {A.DURATION}, 4) AS removed FROM edl GROUP BY media_id""",
 )
 def a2(spark, d):
     t = report.totals(A.edl(spark, d), A.media(spark, d))
-    return t.select("media_id", "n_mute", "n_cut", "n_rejected", F.round("t_mute", 4).alias("t_mute"), F.round("t_cut", 4).alias("t_cut"))
+    return t.select("media_id", "n_mute", "n_cut", "n_rejected", F.round("t_mute", 4).alias("t_mute"), F.round("t_cut", 4).alias("t_cut"), F.round("removed", 4).alias("removed"))
 
 
 @query(
@@ -516,10 +560,15 @@ def a3(spark, d):
     return report.by_category(A.edl(spark, d)).select("media_id", "category", "n", F.round("seconds", 4).alias("seconds"), "place")
 
 
+PHRASES_SQL = """p0 AS (SELECT media_id, seq, string_split(substr(reason, 9), ',') AS ps FROM edl WHERE accepted AND text_before <> '' AND reason LIKE 'matched:%'),
+p AS (SELECT media_id, seq, i, lower(trim(ps[i])) AS phrase FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM p0)),
+pg AS (SELECT media_id, phrase, count(*) AS n, min(seq * 1000 + i) AS f FROM p WHERE phrase <> '' GROUP BY ALL),
+phrases AS (SELECT media_id, phrase, n, place FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY n DESC, f)::INT AS place FROM pg) WHERE place <= {most})"""
+
+
 @query(
     "a4_top_phrases",
-    f"""{WITH_EDL}, p AS (SELECT media_id, lower(trim(unnest(string_split(substr(reason, 9), ',')))) AS phrase FROM edl WHERE accepted AND text_before <> '' AND reason LIKE 'matched:%'),
-g AS (SELECT media_id, phrase, count(*) AS n FROM p WHERE phrase <> '' GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY n DESC, phrase)::INT AS place FROM g) SELECT * FROM k WHERE place <= 5""",
+    f"""{WITH_EDL}, {PHRASES_SQL.format(most=5)} SELECT * FROM phrases""",
 )
 def a4(spark, d):
     return report.top_phrases(A.edl(spark, d), 5)
@@ -540,13 +589,20 @@ def duration_sql(x: str) -> str:
     return f"CASE WHEN {x} < 60 THEN printf('%.1f', {x}) || 's' WHEN {x} < 3600 THEN {m} || 'm ' || printf('%.1f', {s}) || 's' ELSE {h} || 'h ' || {m} || 'm ' || printf('%.1f', {s}) || 's' END"
 
 
-@query(
-    "a5_decision_list",
-    f"""{WITH_EDL} SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY s, seq)::INT AS place, {timestamp_sql('s')} AS from_, {timestamp_sql('e')} AS to_, action, category, substr(reason, 1, 160) AS reason, {duration_sql('greatest(0.0::DOUBLE, e - s)')} AS length
-FROM edl WHERE accepted""",
-)
+LIST_SQL = f"""dl AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY s, seq)::INT AS place, {timestamp_sql('s')} AS from_, {timestamp_sql('e')} AS to_, upper(action) AS action, split_part(category, '+', 1) AS category,
+  CASE WHEN text_before <> '' THEN substr(text_before, 1, 160) END AS before, CASE WHEN text_before <> '' AND text_after <> '' AND text_after <> text_before THEN substr(text_after, 1, 160) END AS after,
+  CASE WHEN text_before = '' AND reason <> '' THEN substr(reason, 1, 160) END AS reason FROM said WHERE accepted)"""
+#: The decisions' texts softened, so that reports have something after as well as before.
+SAID_SQL = "said AS (SELECT * REPLACE (CASE WHEN text_before LIKE '%1' THEN replace(text_before, 'said', 'told') ELSE text_before END AS text_after) FROM edl)"
+
+
+def said(spark, d):
+    return A.edl(spark, d).withColumn("text_after", F.when(F.col("text_before").endswith("1"), F.replace("text_before", F.lit("said"), F.lit("told"))).otherwise(F.col("text_before")))
+
+
+@query("a5_decision_list", f"{WITH_EDL}, {SAID_SQL}, {LIST_SQL} SELECT * FROM dl")
 def a5(spark, d):
-    return report.decision_list(A.edl(spark, d))
+    return report.decision_list(said(spark, d))
 
 
 @query("a6_shot_classes", f"WITH {A.sql('frames', 'shots')} SELECT f.media_id, shot_idx, count(*) FILTER (hit) AS hits, count(*) AS samples FROM frames f JOIN shots ON f.media_id = shots.media_id AND shots.s <= f.at AND f.at < shots.e GROUP BY ALL")
@@ -564,7 +620,7 @@ def a7(spark, d):
 # --- scalar functions
 
 
-@query("t1_soften")
+@query("t1_soften", f"SELECT doc_id, {soften_sql('text', {k: v for k, v in A.REPLACEMENTS.items()})} AS text FROM documents")
 def t1(spark, d):
     return A.read(spark, d, "documents").select("doc_id", T.soften(F.col("text"), A.REPLACEMENTS).alias("text"))
 
@@ -671,17 +727,50 @@ def s10(spark, d):
     return M.pick_embedded_subtitle(streams(spark, d), "spa").select("media_id", "index", "language")
 
 
-@query("s11_resolve_cues", f"""WITH {A.sql('subs')} SELECT media_id, count(*) AS n, CASE WHEN media_id % 4 = 0 THEN 0 WHEN media_id % 3 = 0 THEN 1 ELSE 3 END AS source FROM subs GROUP BY media_id""")
+@query(
+    "s11_resolve_cues",
+    f"""WITH {A.sql('subs')}, r AS (SELECT media_id, CASE WHEN text LIKE '%?%' THEN 0 WHEN length(text) > 200 THEN 1 WHEN idx > 1 THEN 2 ELSE 3 END AS source FROM subs UNION ALL SELECT media_id, 3 FROM subs),
+b AS (SELECT *, min(source) OVER (PARTITION BY media_id) AS best FROM r) SELECT media_id, count(*) AS n, source FROM b WHERE source = best AND (source < 3 OR true) GROUP BY media_id, source""",
+)
 def s11(spark, d):
-    s = A.subs(spark, d)
-    tag = lambda df, i: df.withColumn("text", F.lit(str(i)))
-    out = M.resolve_cues(tag(s.where("media_id % 4 = 0"), 0), tag(s.where("media_id % 3 = 0"), 1), tag(s.where("false"), 2), tag(s, 3))
+    """Four sources, each with some items' cues; what is asked for is there."""
+    kind = F.when(F.col("text").like("%?%"), 0).when(F.length("text") > 200, 1).when(F.col("idx") > 1, 2).otherwise(3)
+    s = A.subs(spark, d).withColumn("kind", kind)
+    tag = lambda df, i: df.withColumn("text", F.lit(str(i))).drop("kind")
+    parts = [tag(s.where(F.col("kind") == i), i) for i in range(3)] + [tag(s.where("kind = 3").unionByName(s), 3)]
+    out = M.resolve_cues(*parts, asked=s.where("kind = 0").select("media_id"))
     return out.groupBy("media_id").agg(F.count("*").alias("n"), F.max(F.col("text").cast("int")).alias("source"))
 
 
-@query("s12_config_hash", """SELECT substr(sha256('{"fps": 24, "threshold": 0.7}'), 1, 16) AS settings, count(*) AS n, substr(sha256('/m/0.mkv'), 1, 16) AS path FROM events""")
+@query("s7_probe", """SELECT event_id // 10 AS media_id, CASE WHEN event_id % 4 = 3 THEN -1 ELSE (event_id % 10)::INT END AS "index", CASE WHEN event_id % 2 = 0 THEN 'subrip' ELSE 'aac' END AS codec_name,
+CASE WHEN event_id % 3 = 0 THEN 'audio' WHEN event_id % 3 = 1 THEN 'subtitle' ELSE '' END AS codec_type, CASE WHEN event_id % 5 = 0 THEN 'und' ELSE event_type END AS language, CASE WHEN event_id % 5 = 1 THEN 'quoted "title"' ELSE '' END AS title,
+CASE WHEN event_id % 3 = 0 THEN (event_id % 6 + 1)::INT ELSE 0 END AS channels FROM events""")
+def s7(spark, d):
+    """Streams written as ffprobe does, one item for ten of them, and read."""
+    k = F.col("event_id")
+    tags = F.struct(F.when(k % 5 != 0, F.col("event_type")).alias("language"), F.when(k % 5 == 1, 'quoted "title"').alias("title"))
+    stream = F.struct(F.when(k % 4 != 3, k % 10).alias("index"), F.when(k % 2 == 0, "subrip").otherwise("aac").alias("codec_name"), F.when(k % 3 == 0, "audio").when(k % 3 == 1, "subtitle").alias("codec_type"), F.when(k % 3 == 0, k % 6 + 1).alias("channels"), tags.alias("tags"), F.lit("x").alias("unknown"))
+    raw = F.to_json(F.struct(F.sort_array(F.collect_list(stream)).alias("streams")))
+    return M.probed_streams(A.read(spark, d, "events").groupBy(F.floor(k / 10).alias("media_id")).agg(raw.alias("raw"))).fillna(0, ["channels"])
+
+
+@query("s12_config_hash", f"""{WITH_EDL} SELECT seq, substr(sha256('{{"fps": 24, "threshold": 0.7}}'), 1, 16) AS settings, substr(sha256('/m/' || media_id || '.mkv'), 1, 16) AS path FROM edl""")
 def s12(spark, d):
-    return A.read(spark, d, "events").agg(F.count("*").alias("n")).select(F.lit(T.settings_hash({"threshold": 0.7, "fps": 24})).alias("settings"), "n", F.substring(F.sha2(F.lit("/m/0.mkv"), 256), 1, 16).alias("path"))
+    e = A.edl(spark, d)
+    return e.select("seq", F.lit(T.settings_hash({"threshold": 0.7, "fps": 24})).alias("settings"), M.path_key(F.concat(F.lit("/m/"), "media_id", F.lit(".mkv"))).alias("path"))
+
+
+@query("s12_result_store", f"""WITH items AS (SELECT user_id::BIGINT AS media_id, count(*) AS n FROM events GROUP BY user_id), stale AS (SELECT media_id, n, n % 3 = 0 AS touched FROM items)
+SELECT media_id, NOT touched AS stored, CASE WHEN touched THEN 0 ELSE n END AS n FROM stale""")
+def s12_store(spark, d):
+    """A detector's results of all items are stored; then some files change, and only the others' results count."""
+    counts = A.edl(spark, d).groupBy("media_id").agg(F.count("*").alias("n"))
+    files = counts.select("media_id", F.concat(F.lit("/m/"), "media_id", F.lit(".mkv")).alias("path"), F.lit(1000).cast("bigint").alias("size"), (F.col("media_id") + 0.25).alias("mtime"), "n")
+    store = M.ResultStore(spark, f"{checkpoint_folder(spark)}/results-{uuid.uuid4().hex}")
+    store.save("counts", {"least": 1}, files.drop("n"), counts)
+    later = files.withColumn("mtime", F.col("mtime") + F.when(F.col("n") % 3 == 0, 5.0).otherwise(0.5))
+    rows, rest = store.load("counts", {"least": 1}, later.drop("n"))
+    return rows.select("media_id", F.lit(True).alias("stored"), "n").unionByName(rest.select("media_id", F.lit(False).alias("stored"), F.lit(0).cast("bigint").alias("n")))
 
 
 @query(
@@ -702,20 +791,126 @@ def s14c(spark, d):
     return timeline.cut_filter(timeline.keep_segments(half_media(spark, d), decisions.action_ranges(A.edl(spark, d), "cut")))
 
 
-@query("s15_report")
+REPORT_SQL = f"""
+t AS (SELECT media_id, count(*) FILTER (accepted) AS total, count(*) FILTER (accepted AND action = 'mute') AS n_mute, count(*) FILTER (accepted AND action = 'cut') AS n_cut,
+  coalesce(sum(greatest(0.0::DOUBLE, e - s)) FILTER (accepted AND action = 'mute'), 0.0) AS t_mute, coalesce(sum(greatest(0.0::DOUBLE, e - s)) FILTER (accepted AND action = 'cut'), 0.0) AS t_cut FROM said GROUP BY media_id),
+told AS (SELECT *, greatest(0.0::DOUBLE, {A.DURATION}::DOUBLE - t_cut) AS rest FROM t WHERE total > 0),
+bc AS (SELECT media_id, split_part(category, '+', 1) AS category, count(*) AS n, min(seq) AS f, sum(greatest(0.0::DOUBLE, e - s)) AS sec FROM said WHERE accepted GROUP BY ALL),
+rp AS (
+  SELECT media_id, 0 AS part, 0 AS line, 'Source: /m/' || media_id || '.mkv' AS text FROM items
+  UNION ALL SELECT media_id, 1, 0, 'Nothing is flagged.' FROM items WHERE media_id NOT IN (SELECT media_id FROM told)
+  UNION ALL SELECT media_id, 1, 0, 'Decisions: ' || total FROM told
+  UNION ALL SELECT media_id, 1, 1, 'Mutes:     ' || n_mute || '  (' || {duration_sql('t_mute')} || ' of audio)' FROM told
+  UNION ALL SELECT media_id, 1, 2, 'Cuts:      ' || n_cut || '  (' || {duration_sql('t_cut')} || ' of video)' FROM told
+  UNION ALL SELECT media_id, 1, 3, 'Length:    ' || {duration_sql(f'{A.DURATION}::DOUBLE')} || ', after cuts ' || {duration_sql('rest')} || '  (' || printf('%.1f', 100 * t_cut / {A.DURATION}) || '% removed)' FROM told
+  UNION ALL SELECT media_id, 2, (row_number() OVER (PARTITION BY media_id ORDER BY n DESC, f)) * 10, rpad(category, 10, ' ') || '  ' || lpad(n::VARCHAR, 4, ' ') || '  (' || {duration_sql('sec')} || ')' FROM bc
+  UNION ALL SELECT media_id, 3, place * 10, lpad(n::VARCHAR, 4, ' ') || '  ' || phrase FROM phrases
+  UNION ALL SELECT media_id, 4, place * 10, '[' || lpad(place::VARCHAR, greatest(3, length(place::VARCHAR))::INT, ' ') || '] ' || from_ || ' - ' || to_ || '  ' || rpad(action, 4, ' ') || '  ' || category FROM dl
+  UNION ALL SELECT media_id, 4, place * 10 + 1, CASE WHEN before IS NOT NULL THEN 'before: ' || before ELSE 'reason: ' || reason END FROM dl
+  UNION ALL SELECT media_id, 4, place * 10 + 2, 'after:  ' || after FROM dl WHERE after IS NOT NULL)"""
+
+
+@query("s15_report", f"{WITH_EDL}, {A.sql('items')}, {SAID_SQL}, {LIST_SQL}, {PHRASES_SQL.format(most=15)}, {REPORT_SQL} SELECT media_id, part, line::BIGINT AS line, text FROM rp")
 def s15(spark, d):
-    return report.report_lines(A.edl(spark, d), A.media(spark, d))
+    return report.report_lines(said(spark, d), A.media(spark, d))
+
+
+PLAN_SETTINGS = Settings(vlm=True)
+
+
+@query(
+    "s15_plan",
+    f"""WITH {STREAMS_SQL}, items AS (SELECT DISTINCT media_id FROM st), sub AS (SELECT * FROM st WHERE kind = 'subtitle' AND codec = 'subrip' QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY CASE WHEN lang IN ('eng', 'en') THEN 0 ELSE 1 END, idx) = 1),
+aud AS (SELECT * FROM st WHERE kind = 'audio' QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY CASE WHEN lang IN ('eng', 'en') THEN 0 ELSE 1 END, idx) = 1),
+pic AS (SELECT media_id, count(*) FILTER (codec <> 'subrip') AS pictures FROM st WHERE kind = 'subtitle' GROUP BY media_id),
+c AS (SELECT media_id, 'Cues: ' || CASE WHEN media_id % 10 = 3 THEN 'sidecar film.en' WHEN sub.idx IS NOT NULL THEN 'embedded stream ' || sub.idx || ' (subrip, ' || sub.lang || ')'
+  ELSE CASE WHEN pictures > 0 THEN pictures || ' picture subtitle(s) skipped; ' ELSE '' END || CASE WHEN aud.idx IS NULL THEN 'none, and no audio to transcribe' ELSE 'transcription of stream ' || aud.idx || ' (' || aud.codec || ', ' || aud.lang || ') by large-v3 with word times' END END AS text
+  FROM items LEFT JOIN sub USING (media_id) LEFT JOIN aud USING (media_id) LEFT JOIN pic USING (media_id)),
+fixed_(part, line, text) AS (VALUES (1, 0, 'profanity: mute (3 patterns)'), (1, 1, 'violence: keep (off)'), (1, 2, 'drugs: mute (2 patterns)'), (1, 3, 'sex: mute (2 patterns)'), (1, 4, 'nudity: cut (frames)'),
+  (2, 5, 'shots: on (threshold 27.0)'), (2, 6, 'frames: on (every 1.0 s, threshold 0.7, share of a shot 0.5)'), (2, 7, 'cuts to whole shots: on'), (3, 8, 'encoder: libx264 (quality 20)'), (3, 9, 'subtitles in the picture: none'))
+SELECT media_id, 0 AS part, 0 AS line, 'Source: /m/' || media_id || '.mkv' AS text FROM items UNION ALL SELECT media_id, 0, 1, text FROM c UNION ALL SELECT media_id, part, line, text FROM items, fixed_""",
+)
+def s15_plan(spark, d):
+    s = streams(spark, d)
+    items = s.select("media_id").distinct()
+    media = items.select("media_id", F.concat(F.lit("/m/"), "media_id", F.lit(".mkv")).alias("video_path"))
+    name = F.when(F.col("media_id") % 10 == 3, "film.en").otherwise("another")
+    files = items.select("media_id", F.lit("film").alias("stem"), name.alias("name"), F.lit(False).alias("in_subs"), F.lit(0).alias("pos"))
+    return report.plan_lines(media, files, s, PLAN_SETTINGS, A.vocabulary())
+
+
+@query(
+    "s14_cut_commands",
+    f"""WITH {A.sql('edl', 'items')}, {CUTS_SQL}, {SEGMENTS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY s, e) - 1 AS i FROM seg),
+fg AS (SELECT media_id, string_agg('[0:v]trim=start=' || printf('%.3f', s) || ':end=' || printf('%.3f', e) || ',setpts=PTS-STARTPTS[v' || i || '];[0:a]atrim=start=' || printf('%.3f', s) || ':end=' || printf('%.3f', e) || ',asetpts=PTS-STARTPTS[a' || i || ']', ';' ORDER BY i)
+|| ';' || string_agg('[v' || i || '][a' || i || ']', '' ORDER BY i) || 'concat=n=' || count(*) || ':v=1:a=1[v][a]' AS filter FROM n GROUP BY media_id)
+SELECT media_id, CASE WHEN media_id NOT IN (SELECT media_id FROM cuts) THEN '-y -i /m/' || media_id || '.mkv -c copy /o/' || media_id || '.mkv'
+  ELSE '-y -i /m/' || media_id || '.mkv -filter_complex ' || filter || ' -map [v] -map [a] -c:v h264_videotoolbox -q:v 50 -b:v 0 -c:a aac -b:a 192k /o/' || media_id || '.mkv' END AS command FROM items LEFT JOIN fg USING (media_id)""",
+)
+def s14_commands(spark, d):
+    cuts = decisions.action_ranges(A.edl(spark, d), "cut")
+    media = A.media(spark, d).withColumn("output_path", F.concat(F.lit("/o/"), "media_id", F.lit(".mkv")))
+    made = timeline.cut_commands(media, timeline.keep_segments(half_media(spark, d), cuts), cuts, "videotoolbox", 20)
+    return made.select("media_id", F.array_join("arguments", " ").alias("command"))
 
 
 # --- the whole run
 
+RUN = Settings(vlm=True, audio=True, llm=True)
+ROWS = "media_id, seq, s, e, action, category, reason, text_before, text_after, source, accepted"
+RUN_PATTERNS = [p for p in PATTERNS if p[0] in RUN.enabled]
+
+
+def rows_sql(name: str) -> str:
+    return f'SELECT media_id, seq, start AS s, "end" AS e, action, category, reason, text_before, text_after, source, accepted FROM ({ORACLES[name]})'
+
+
+def appended_sql(a: str, b: str) -> str:
+    return f"SELECT * EXCLUDE part REPLACE ((row_number() OVER (PARTITION BY media_id ORDER BY part, seq) - 1) AS seq) FROM (SELECT {ROWS}, 0 AS part FROM {a} UNION ALL SELECT {ROWS}, 1 FROM {b})"
+
 
-@query("pipeline_build_edl")
+def renumbered_sql(rows: str) -> str:
+    return f"SELECT * REPLACE ((row_number() OVER (PARTITION BY media_id ORDER BY s, e, seq) - 1) AS seq) FROM {rows}"
+
+
+def gate_sql(rows: str) -> str:
+    return f"FROM {rows} d WHERE strength = 'matched' OR EXISTS (SELECT 1 FROM {rows} t WHERE t.media_id = d.media_id AND t.strength = 'matched' AND t.e + 30 >= d.s AND t.s - 30 <= d.e)"
+
+
+def run_sql() -> str:
+    return f"""WITH RECURSIVE {A.sql('words', 'items', 'shots')}, benchmark_cues AS (SELECT 1000000000 + item_id AS media_id, 0 AS idx, 0.0::DOUBLE AS s, 8.0::DOUBLE AS e, text FROM benchmark),
+{_lines_sql(RUN.actions, 'benchmark_cues', RUN_PATTERNS)}, {_words_sql(RUN_PATTERNS)},
+l0 AS (SELECT *, CASE weak WHEN 1 THEN 'weak' ELSE 'matched' END AS strength FROM lines),
+l1 AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY s, idx) - 1 AS seq, s, e, action, category, reason, text AS text_before, {soften_sql('text', SOFT)} AS text_after, 'subtitle' AS source, true AS accepted {gate_sql('l0')}),
+w1 AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY pos) - 1 AS seq, s, e, 'mute' AS action, category, strength || ': ' || word AS reason, said AS text_before, {soften_sql('said', SOFT)} AS text_after, 'whisper-word' AS source, true AS accepted {gate_sql('v')}),
+visual AS ({rows_sql('m8_shot_hits')}), llm AS ({rows_sql('f11_llm_verdicts')}), audio AS ({rows_sql('f12_audio_labels')}), vlm AS ({rows_sql('f10_vision_verdicts')}),
+a1 AS ({appended_sql('l1', 'w1')}), a2 AS ({appended_sql('a1', 'visual')}),
+p1 AS (SELECT * REPLACE (greatest(0.0::DOUBLE, s - 0.15::DOUBLE) AS s, e + 0.15::DOUBLE AS e) FROM a2), {fold_sql('p1', '0.5::DOUBLE', 'm1')}, n1 AS ({renumbered_sql('m1')}),
+a3 AS ({appended_sql('n1', 'llm')}), a4 AS ({appended_sql('a3', 'audio')}), {dense_sql('a4', '60.0', 3)},
+d1 AS (SELECT media_id, 0 AS seq, s, e, 'cut' AS action, category, reason, '' AS text_before, '' AS text_after, 'density' AS source, true AS accepted FROM dense), d2 AS ({renumbered_sql('d1')}),
+a5 AS ({appended_sql('a4', 'd2')}), a6 AS ({appended_sql('a5', 'vlm')}), {fold_sql('a6', '0.5::DOUBLE', 'm2')}, n2 AS ({renumbered_sql('m2')}),
+sn AS (SELECT d.media_id, d.seq, CASE WHEN cut_ THEN coalesce(a.s, d.s) ELSE d.s END AS s, CASE WHEN cut_ THEN coalesce(b.e, d.e) ELSE d.e END AS e, action, category,
+  CASE WHEN cut_ THEN trim(reason || ' | snapped-to-shot', ' |') ELSE reason END AS reason, text_before, text_after, source, accepted
+  FROM (SELECT *, action = 'cut' AND media_id IN (SELECT media_id FROM items) AS cut_ FROM n2) d LEFT JOIN shots a ON a.media_id = d.media_id AND a.s <= d.s AND d.s < a.e
+  LEFT JOIN shots b ON b.media_id = d.media_id AND b.s <= greatest(d.s, d.e - 1e-6::DOUBLE) AND greatest(d.s, d.e - 1e-6::DOUBLE) < b.e),
+{fold_sql('sn', '0.0::DOUBLE', 'm3')}, n3 AS ({renumbered_sql('m3')}),
+k3 AS (SELECT *, accepted AND {VISUAL_ONLY_SQL} AND NOT EXISTS (SELECT 1 FROM n3 c WHERE c.media_id = d.media_id AND c.accepted AND {overlap('c.source', decisions.SUPPORTING_SOURCES)} AND c.s - 5 <= d.e AND c.e + 5 >= d.s) AS alone FROM n3 d)
+SELECT media_id, seq::BIGINT AS seq, s AS start, e AS "end", action, category, CASE WHEN alone THEN substr('[solo-visual; needs corroboration] ' || reason, 1, 200) ELSE reason END AS reason, text_before, text_after, source, accepted AND NOT alone AS accepted FROM k3"""
+
+
+@query("pipeline_build_edl", run_sql())
 def whole(spark, d):
-    """Cues and words of the conversations, detector rows from the events, shots; everything on."""
-    e = A.edl(spark, d)
-    has_words = A.words(spark, d).where("media_id % 2 = 0")
+    """Words of the conversations, cues of the benchmark, hits of planned frames, raw answers of both models, audio scores, and shots; everything on."""
+    cues = A.read(spark, d, "benchmark").select((F.col("item_id") + 1_000_000_000).alias("media_id"), F.lit(0).alias("idx"), F.lit(0.0).alias("start"), F.lit(8.0).alias("end"), "text")
     inputs = Inputs(
-        cues=A.subs(spark, d), words=has_words, shots=A.shots(spark, d), visual=e.where("source = 'visual-shot'"), audio=e.where("source = 'audio'"), vlm=e.where("source = 'vlm'"), lexicon=A.vocabulary(), replacements=A.REPLACEMENTS
+        cues=A.subs(spark, d).unionByName(cues),
+        words=A.words(spark, d),
+        shots=A.shots(spark, d),
+        visual=m8(spark, d),
+        llm=f11(spark, d),
+        audio=f12(spark, d),
+        vlm=f10_vision(spark, d),
+        lexicon=A.vocabulary(),
+        replacements=SOFT,
     )
-    return build_edl(inputs, Settings(vlm=True, audio=True))
+    return build_edl(inputs, RUN)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import platform
 from dataclasses import dataclass, field, replace
 
 from .schema import ACTIONS, CATEGORIES
 
 PRESETS = {
-    "fast": {"sample_seconds": 2.0, "hit_fraction": 0.6, "frame_threshold": 0.75, "snap": False, "density": False, "llm": False, "vlm": False, "audio": False, "stt_model": "base", "stt_words": False},
-    "balanced": {"sample_seconds": 1.0, "hit_fraction": 0.5, "frame_threshold": 0.7, "snap": True, "density": True, "llm": False, "vlm": False, "audio": False, "stt_model": "small", "stt_words": True},
-    "thorough": {"sample_seconds": 0.5, "hit_fraction": 0.45, "frame_threshold": 0.65, "snap": True, "density": True, "llm": True, "vlm": True, "audio": True, "stt_model": "large-v3", "stt_words": True},
+    "fast": {"sample_seconds": 2.0, "hit_fraction": 0.6, "frame_threshold": 0.75, "snap": False, "density": False, "llm": False, "vlm": False, "audio": False, "stt_model": "base", "stt_words": False, "min_streak": 3, "encoder": "auto", "quality": 23},
+    "balanced": {"sample_seconds": 1.0, "hit_fraction": 0.5, "frame_threshold": 0.7, "snap": True, "density": True, "llm": False, "vlm": False, "audio": False, "stt_model": "small", "stt_words": True, "min_streak": 3, "encoder": "auto", "quality": 20},
+    "thorough": {"sample_seconds": 0.5, "hit_fraction": 0.45, "frame_threshold": 0.65, "snap": True, "density": True, "llm": True, "vlm": True, "audio": True, "stt_model": "large-v3", "stt_words": True, "min_streak": 3, "encoder": "libx264", "quality": 18},
 }
 
 
@@ -47,6 +48,9 @@ class Settings:
     corroborate_radius: float = 5.0
     stt_model: str = "large-v3"
     stt_words: bool = True
+    scene_threshold: float = 27.0
+    encoder: str = "auto"
+    quality: int = 20
 
     def preset(self, name: str) -> Settings:
         """The preset's values over these."""
@@ -54,6 +58,10 @@ class Settings:
             raise ValueError(f"no preset {name!r}; there are {', '.join(PRESETS)}")
         return replace(self, **PRESETS[name])
 
+    def resolved_encoder(self) -> str:
+        """The encoder named, or the one that this machine has."""
+        return self.encoder if self.encoder != "auto" else "videotoolbox" if platform.system() == "Darwin" else "libx264"
+
     def with_actions(self, pairs: list[str]) -> Settings:
         """Overrides like 'drugs=cut'."""
         found = dict(self.actions)

@@ -37,6 +37,26 @@ def pick_sidecar(files: DataFrame, prefer: str = "eng") -> DataFrame:
     return ranked.where("_n = 1").drop("_n")
 
 
+PROBE = "streams array<struct<index:int,codec_name:string,codec_type:string,channels:int,tags:struct<language:string,title:string>>>, format struct<duration:string>"
+
+
+def probed_streams(probes: DataFrame) -> DataFrame:
+    """(media_id, index, codec_name, codec_type, language, title, channels) of the JSON (media_id, raw) that ffprobe writes of each item's streams.
+
+    What a stream doesn't say is -1, empty, `und` for the language and null for the channels. Text that isn't JSON gives no stream.
+    """
+    s = probes.select(MEDIA, F.explode(F.from_json("raw", PROBE)["streams"]).alias("s"))
+    or_ = lambda c, v: F.coalesce(F.col(f"s.{c}"), F.lit(v))
+    return s.select(MEDIA, or_("index", -1).alias("index"), or_("codec_name", "").alias("codec_name"), or_("codec_type", "").alias("codec_type"), or_("tags.language", "und").alias("language"), or_("tags.title", "").alias("title"), F.col("s.channels").alias("channels"))
+
+
+def probed_durations(probes: DataFrame) -> DataFrame:
+    """(media_id, duration) in seconds, of the same JSON; one that isn't told, or isn't a number, is an error."""
+    told = F.from_json("raw", PROBE)["format"]["duration"]
+    seconds = F.expr("try_cast(d AS double)")
+    return probes.select(MEDIA, told.alias("d")).select(MEDIA, F.coalesce(seconds, F.raise_error(F.concat(F.lit("no duration of item "), F.col(MEDIA))).cast("double")).alias("duration"))
+
+
 def streams_of(streams: DataFrame, kind: str) -> DataFrame:
     return streams.where(F.col("codec_type") == kind)
 
@@ -63,14 +83,28 @@ def pick_embedded_subtitle(streams: DataFrame, prefer: str = "eng") -> DataFrame
     return _first_of_language(streams_of(streams, "subtitle").where(F.col("codec_name").isin(*TEXT_CODECS)), prefer)
 
 
-def resolve_cues(explicit: DataFrame, sidecar: DataFrame, embedded: DataFrame, transcribed: DataFrame) -> DataFrame:
-    """Each item's cues from the first of the sources that has any."""
+def resolve_cues(explicit: DataFrame, sidecar: DataFrame, embedded: DataFrame, transcribed: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Each item's cues from the first of the sources that has any.
+
+    asked: the items (media_id) for which a file was asked for; one of them that explicit has no row of is an error, not a
+    reason to go on to the next source.
+    """
+    if asked is not None:
+        # the error needs both sides of the join, so that no filter moves it below
+        there = asked.select(MEDIA).distinct().join(explicit.select(MEDIA).distinct().withColumn("_there", F.lit(True)), MEDIA, "left")
+        error = there.where(F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit("the subtitle asked for isn't there: item "), F.col(MEDIA))).cast("boolean")).otherwise(F.lit(False)))
+        explicit = explicit.unionByName(error.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name != MEDIA else F.col(MEDIA) for f in explicit.schema.fields]))
     sources = [df.withColumn("_s", F.lit(i)) for i, df in enumerate((explicit, sidecar, embedded, transcribed))]
     rows = sources[0].unionByName(sources[1]).unionByName(sources[2]).unionByName(sources[3])
     best = rows.withColumn("_b", F.min("_s").over(Window.partitionBy(MEDIA)))
     return best.where("_s = _b").drop("_s", "_b")
 
 
+def path_key(path: Column) -> Column:
+    """A short key of a file's path."""
+    return F.substring(F.sha2(path, 256), 1, 16)
+
+
 class ResultStore:
     """Detector results on disk by feature and settings; a result counts while its file's size and time are the same."""
 
@@ -82,7 +116,7 @@ class ResultStore:
 
     def save(self, feature: str, settings: dict, files: DataFrame, result: DataFrame) -> None:
         """files: media_id, path, size, mtime. Items without a row in result are stored as empty."""
-        key = files.select(MEDIA, F.substring(F.sha2("path", 256), 1, 16).alias("_path"), "size", F.floor("mtime").alias("mtime"))
+        key = files.select(MEDIA, path_key(F.col("path")).alias("_path"), "size", F.floor("mtime").alias("mtime"))
         rows = F.struct(*[F.col(f"`{c}`") for c in result.columns])
         key.join(result.select(MEDIA, rows.alias("row")), MEDIA, "left").write.mode("overwrite").parquet(self._at(feature, settings))
 
@@ -92,7 +126,7 @@ class ResultStore:
         if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             return None, files
         stored = self.spark.read.parquet(self._at(feature, settings))
-        now = files.select(F.col(MEDIA).alias("_m"), F.substring(F.sha2("path", 256), 1, 16).alias("_p"), F.col("size").alias("_s"), F.floor("mtime").alias("_t"))
+        now = files.select(F.col(MEDIA).alias("_m"), path_key(F.col("path")).alias("_p"), F.col("size").alias("_s"), F.floor("mtime").alias("_t"))
         valid = stored.join(now, (F.col(MEDIA) == F.col("_m")) & (F.col("_path") == F.col("_p")) & (F.col("size") == F.col("_s")) & (F.col("mtime") == F.col("_t")), "left_semi")
         return valid.where("row is not null").select("row.*"), files.join(valid.select(MEDIA).distinct(), MEDIA, "left_anti")
 

@@ -63,6 +63,7 @@ def test_line_scan(spark):
     got = sorted(tuple(r) for r in dialogue.scan_lines(cues(spark, rows), lexicon(LEXICON), ACTIONS).select("start", "action", "category", "reason").collect())
     # the keep of the more severe category silences cue 4; the weak one at 600 has nothing strong near
     assert got == [(0.0, "mute", "drugs", "weak: high"), (10.0, "mute", "drugs", "matched: coke, darned")]
+    assert [r.action for r in dialogue.scan_lines(cues(spark, rows), lexicon({"own": ["nothing"]}), ACTIONS).collect()] == ["mute"]
     only = lexicon(LEXICON, {"profanity"})
     assert [r.category for r in dialogue.scan_lines(cues(spark, rows), only, ACTIONS).collect()] == ["profanity", "profanity"]
     assert dialogue.scan_lines(cues(spark, rows), [], ACTIONS).collect() == []
@@ -72,9 +73,12 @@ def test_word_scan_fires_on_runs(spark):
     said = "one two darn, four".split()
     words = spark.createDataFrame([(1, i, float(i), i + 0.5, w, 1.0) for i, w in enumerate(said)], "media_id long, pos long, start double, end double, text string, probability double")
     got = sorted((r.start, r.end, r.reason) for r in dialogue.scan_words(words, lexicon(LEXICON), ACTIONS).collect())
-    assert got == [(0.0, 2.5, "matched: one two darn"), (1.0, 2.5, "matched: two darn"), (2.0, 2.5, "matched: darn")]
-    merged = dialogue.scan_words(words, lexicon(LEXICON), ACTIONS)
-    assert decisions.merge_overlapping(merged).count() == 1
+    assert got == [(0.0, 2.5, "matched: darn"), (1.0, 2.5, "matched: darn"), (2.0, 2.5, "matched: darn")]
+    merged = dialogue.scan_words(words, lexicon(LEXICON), ACTIONS, {"darn": "gosh"})
+    assert {(r.text_before, r.text_after) for r in merged.collect()} == {("one two darn", "one two gosh"), ("two darn", "two gosh"), ("darn", "gosh")}
+    assert [r.reason for r in decisions.merge_overlapping(merged).collect()] == ["matched: darn"]
+    # a category without an action is muted
+    assert {r.action for r in dialogue.scan_words(words, lexicon({"own": ["darn"]}), ACTIONS).collect()} == {"mute"}
     assert dialogue.scan_words(words, [], ACTIONS).collect() == []
 
 
@@ -96,7 +100,7 @@ def test_audio(spark):
     rows = [(1, 0.0, 5.0, [("Moan", 0.9), ("Scream", 0.95)]), (1, 5.0, 5.5, [("Moan", 0.9)]), (1, 6.0, 9.0, [("Moan", 0.1)])]
     df = spark.createDataFrame(rows, "media_id long, start double, end double, scores array<struct<label:string,score:double>>")
     got = sounds.audio_labels(df, {"Moan": "sex", "Scream": "violence"}).collect()
-    assert [(r.start, r.category, r.reason) for r in got] == [(0.0, "sex+violence", "audio event: Scream (0.95)")]
+    assert [(r.seq, r.start, r.action, r.category, r.reason, r.source, r.accepted) for r in got] == [(0, 0.0, "cut", "sex+violence", "audio event: Scream (0.95)", "audio", True)]
     ramp = spark.createDataFrame([([float(i) for i in range(100)],)], "x array<double>")
     for centre, want in ((0.5, list(range(40))), (5.0, list(range(30, 70))), (9.5, [*range(75, 100), *[0] * 15])):
         assert ramp.select(sounds.audio_slice(F.col("x"), 10, F.lit(centre), 4.0).alias("y")).first().y == want
