@@ -22,17 +22,16 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new temporary one where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if where:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(where)
-        return where
-    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    """The folder all executors share: spark.checkpoint.dir, or a new temporary one on a local master where that is unset (tests). Elsewhere that is an error."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    set_dir = context._jsc.sc().getCheckpointDir()
     if set_dir.isEmpty():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spanforge-"))
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return set_dir.get()
+        if not where and context.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir is to name a folder that all executors share")
+        context.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="spanforge-"))
+        set_dir = context._jsc.sc().getCheckpointDir()
+    return where or set_dir.get()
 
 
 def scratch(spark: SparkSession, what: str) -> str:

@@ -3,11 +3,16 @@
 Equal vectors are one class. Classes are spread over cells by the nearest centre
 of a net that is taken from a bounded sample, and a cell's classes over blocks
 of a bounded size. Each block gets a cover tree: nested levels with halving
-radii, and for each node the radius that really covers its members. Two cells, and
-two nodes of two blocks' trees, are compared further only if their centres are no
+radii, and for each node the radius that really covers its members. Two cells, two
+blocks, and two nodes of their trees, are compared further only if their centres are no
 farther apart than both covering radii and the threshold's distance. What is
 left is compared in double precision. Link counts leave a block pair as sums, and
 links as spanning forests, so that a dense cluster's pairs are never written out.
+
+Near cells make up groups of about equal bytes, large ones groups in parts. Each
+pair of groups that the bounds leave is one task, so that a block is sent once for each
+group that it is compared with, not for each block: groups are as many as the cores
+ask for, or as their size in memory does.
 """
 
 from __future__ import annotations
@@ -24,8 +29,10 @@ from .common import components, cut, map_arrow, skew_join
 
 #: Classes that the cells' centres are chosen from, and how many cells there are at most.
 SAMPLE, CELLS = 4096, 512
-#: Classes in a block, about.
-BLOCK = 4096
+#: Bytes of a block's vectors, about, and its classes at least.
+BLOCK_BYTES, BLOCK = 1 << 19, 64
+#: Bytes of a group's vectors at most, about, and pairs of groups for each core at least.
+GROUP_BYTES, PAIRS = 64 << 20, 3
 #: Node pairs of at most so many member pairs are compared at once.
 DIRECT = 1 << 16
 SLACK = 1e-9
@@ -217,7 +224,9 @@ class Links:
 
 def link_blocks(x: np.ndarray, y: np.ndarray, tx: Node, ty: Node, wx: np.ndarray, wy: np.ndarray, same: bool, least: float) -> Links:
     found = Links(x, y, wx, wy, same, least)
-    found.run(tx, ty)
+    apart = math.sqrt(max(0.0, 2 - 2 * float(x[tx.centre] @ y[ty.centre])))
+    if same or apart <= tx.radius + ty.radius + found.theta + SLACK:
+        found.run(tx, ty)
     return found
 
 
@@ -228,7 +237,7 @@ def valid(c: str):
     return v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda e: e != 0)
 
 
-def embedding_links(vectors: DataFrame, least: float = 0.95, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def embedding_links(vectors: DataFrame, least: float = 0.95, sample: int = SAMPLE, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id, embedding).
 
     Vectors of equal length link at a cosine of at least `least`; equal vectors are one class whose
@@ -236,34 +245,47 @@ def embedding_links(vectors: DataFrame, least: float = 0.95, sample: int = SAMPL
     no vec_id, links with nothing; without a vec_id the component is null, and kept false. Rows with
     one vec_id are vectors of their own in n_links. An empty table gives an empty result.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).withColumn("ok", F.coalesce(valid("v") & F.col("vec_id").isNotNull(), F.lit(False)))
-    classes = cut(rows.where("ok").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    plain = F.transform("v", lambda e: e + 0.0)  # -0.0 is 0.0
+    keyed = rows.where("ok").select("vec_id", plain.alias("v")).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
+    classes = cut(keyed.groupBy("v", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     n = classes.count()
+    keys = ["h1", "h2"]
     if n:
-        counts, edges = class_links(classes, n, least, sample, block)
+        counts, edges = class_links(classes, n, least, sample, block_bytes, group_bytes)
         roots = components(edges)
         named = cut(
-            classes.join(counts, "rep", "left")
+            classes.drop("v")
+            .join(counts.withColumnRenamed("h1", "h1_"), F.col("h1") == F.col("h1_"), "left")
             .join(roots, F.col("rep") == F.col("node"), "left")
-            .select("v", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+            .select(*keys, "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
         )
     else:
-        named = classes.select("v", "copies", F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("component_id"))
-    linked = skew_join(rows.where("ok").select("vec_id", "v"), named, ["v"], "copies").select("vec_id", "n_links", "component_id")
+        named = classes.select(*keys, "copies", F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("component_id"))
+    linked = skew_join(keyed.select("vec_id", *keys), named, keys, "copies").select("vec_id", "n_links", "component_id")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def class_links(classes: DataFrame, n: int, least: float, sample: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """Link counts (rep, n), copies counted, and edges (a, b) that connect each component, between the n distinct vectors of classes."""
+def in_order(centres: np.ndarray) -> list[int]:
+    """The rows of centres, each the nearest to the one before that is left."""
+    left, out = list(range(1, len(centres))), [0]
+    while left:
+        at = left.pop(int((centres[left] @ centres[out[-1]]).argmax()))
+        out.append(at)
+    return out
+
+
+def class_links(classes: DataFrame, n: int, least: float, sample: int, block_bytes: int, group_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Link counts (h1, n), copies counted, and edges (a, b) that connect each component, between the n distinct vectors of classes."""
     spark = classes.sparkSession
     theta = math.sqrt(max(0.0, 2 - 2 * least))
-    chosen = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").collect()
+    chosen = classes.orderBy(F.xxhash64("rep"), "rep", "h1").limit(sample).select("v").collect()
     by_size: dict[int, list] = {}
     for r in chosen:
         by_size.setdefault(len(r.v), []).append(r.v)
-    most = max(1, min(CELLS, math.ceil(n / block)))
+    block = lambda d: max(BLOCK, block_bytes // (8 * d))
+    most = max(1, min(CELLS, math.ceil(n / block(max(by_size)))))
     centres = {d: net(unit_rows(vs), most) for d, vs in by_size.items()}
     first = dict(zip(centres, np.cumsum([0, *(len(c) for c in centres.values())])))
     held = spark.sparkContext.broadcast((centres, first))
@@ -283,76 +305,117 @@ def class_links(classes: DataFrame, n: int, least: float, sample: int, block: in
                 best = near.argmax(axis=1)
                 cells[at] = first[d] + best
                 far[at] = np.sqrt(np.maximum(0.0, 2 - 2 * near[np.arange(len(at)), best]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cells), pa.array(far)], names=["v", "rep", "copies", "cell", "far"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells), pa.array(far)], names=["v", "rep", "copies", "h1", "cell", "far"])
 
-    placed = cut(map_arrow(classes.select("v", "rep", "copies"), place, "v array<double>, rep long, copies long, cell long, far double"))
+    placed = cut(map_arrow(classes.select("v", "rep", "copies", "h1"), place, "v array<double>, rep long, copies long, h1 long, cell long, far double"))
     # one row for each cell: at most CELLS for each vector length
     cells = {r.cell: (r.n, r.far) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
-    parts = {c: math.ceil(k / block) for c, (k, _) in cells.items()}
     at = {first[d] + i: (d, v) for d, cs in centres.items() for i, v in enumerate(cs)}
-    pairs = []
-    for a in sorted(cells):
-        for b in sorted(cells):
-            if a > b:
-                continue
-            if a != b:
-                if a < 0 or b < 0 or at[a][0] != at[b][0]:
-                    continue
-                apart = math.sqrt(max(0.0, 2 - 2 * float(at[a][1] @ at[b][1])))
-                if apart > cells[a][1] + cells[b][1] + theta + SLACK:
-                    continue
-            pairs.append((a, b, parts[a], parts[b]))
-    table = F.broadcast(spark.createDataFrame(pairs, "a long, b long, parts_a int, parts_b int"))
-    split = F.create_map(*[F.lit(x) for c, k in parts.items() for x in (c, k)]) if len(parts) < 64 else None
-    if split is None:
-        sized = placed.join(F.broadcast(spark.createDataFrame(list(parts.items()), "cell long, parts int")), "cell")
-    else:
-        sized = placed.withColumn("parts", split[F.col("cell")])
-    sized = sized.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    size_of = {c: at[c][0] if c >= 0 else -c for c in cells}
+    parts = {c: math.ceil(k / block(size_of[c])) for c, (k, _) in cells.items()}
+    # groups: near cells together, up to a share of all bytes; a larger cell is a group in parts
+    weight = {c: 8 * size_of[c] * k for c, (k, _) in cells.items()}
+    share = min(group_bytes, max(1, sum(weight.values()) / math.ceil(math.sqrt(2 * PAIRS * spark.sparkContext.defaultParallelism))))
+    groups: list[list[int]] = []
+    for d, cs in centres.items():
+        held = math.inf
+        for c in (int(first[d]) + i for i in in_order(cs)):
+            if c in cells:
+                if held + weight[c] > share:
+                    groups.append([])
+                    held = 0
+                groups[-1].append(c)
+                held += weight[c]
+    groups += [[c] for c in cells if c < 0]
+    in_parts = [math.ceil(sum(weight[c] for c in g) / share) for g in groups]
+
+    def near(a: int, b: int) -> bool:
+        if a == b:
+            return True
+        if size_of[a] != size_of[b] or a < 0 or b < 0:
+            return False
+        apart = math.sqrt(max(0.0, 2 - 2 * float(at[a][1] @ at[b][1])))
+        return apart <= cells[a][1] + cells[b][1] + theta + SLACK
+
+    pairs = [(i, j, in_parts[i], in_parts[j]) for i, g in enumerate(groups) for j, h in enumerate(groups) if i <= j and any(near(a, b) for a in g for b in h)]
+    # at most one row for each pair of cells
+    table = F.broadcast(spark.createDataFrame(pairs, "a int, b int, parts_a int, parts_b int"))
+    known = spark.createDataFrame([(c, parts[c], i, in_parts[i]) for i, g in enumerate(groups) for c in g], "cell long, parts int, grp int, in_parts int")
+    sized = placed.join(F.broadcast(known), "cell").withColumn("part", F.pmod(F.xxhash64("rep", "h1"), F.col("parts")).cast("int"))
 
     def grow(t: pa.Table) -> pa.Table:
         x = unit_rows(t.column("v").to_pylist())
         order, root = cover_tree(x, theta / 4)
-        ids, copies = t.column("rep").to_numpy()[order], t.column("copies").to_numpy()[order]
-        row = [t.column("cell")[0].as_py(), t.column("part")[0].as_py(), x[order].tobytes(), ids.tobytes(), copies.tobytes(), flat(root).tobytes()]
-        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
-        return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["cell", "part", "x", "ids", "copies", "tree"])
-
-    blocks = cut(sized.select("cell", "part", "v", "rep", "copies").groupBy("cell", "part").applyInArrow(grow, "cell long, part int, x binary, ids binary, copies binary, tree binary"))
-    payload = F.struct("x", "ids", "copies", "tree")
-    left = (
-        blocks.join(table, F.col("cell") == F.col("a"))
-        .select("a", F.col("part").alias("p"), "b", F.explode(F.sequence(F.lit(0), F.col("parts_b") - 1)).alias("q"), payload.alias("l"))
-        .where("a < b or p <= q")
-    )
-    right = (
-        blocks.join(table, F.col("cell") == F.col("b"))
-        .select("a", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1)).alias("p"), "b", F.col("part").alias("q"), payload.alias("r"))
-        .where("a < b or p <= q")
-    )
-    joined = left.join(right, ["a", "p", "b", "q"]).select((F.expr("a = b and p = q")).alias("same"), "l.*", *[F.col(f"r.{c}").alias(f"r_{c}") for c in ("x", "ids", "copies", "tree")])
+        ids, copies, keys = (t.column(c).to_numpy()[order] for c in ("rep", "copies", "h1"))
+        row = [t.column("grp")[0].as_py(), t.column("in_parts")[0].as_py(), t.column("cell")[0].as_py(), t.column("part")[0].as_py(), x[order].tobytes(), ids.tobytes(), copies.tobytes(), keys.tobytes(), flat(root).tobytes()]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+        return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["grp", "in_parts", "cell", "part", "x", "ids", "copies", "keys", "tree"])
+
+    grown = sized.select("cell", "part", "grp", "in_parts", "v", "rep", "copies", "h1").groupBy("cell", "part").applyInArrow(grow, "grp int, in_parts int, cell long, part int, x binary, ids binary, copies binary, keys binary, tree binary")
+    blocks = cut(grown.withColumn("own", F.pmod(F.xxhash64("cell", "part"), F.col("in_parts")).cast("int")))
+    payload = ["cell", "part", "x", "ids", "copies", "keys", "tree"]
+    # every pair of groups' parts once: the first of it is side 0, and a pair of one with itself has that alone
+    sides = [
+        blocks.join(table, F.col("grp") == F.col("a")).select("a", F.col("own").alias("p"), "b", F.explode(F.sequence(F.lit(0), F.col("parts_b") - 1)).alias("q"), F.lit(0).alias("side"), *payload).where("a < b or p <= q"),
+        blocks.join(table, F.col("grp") == F.col("b")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1)).alias("p"), "b", F.col("own").alias("q"), F.lit(1).alias("side"), *payload).where("a < b or p < q"),
+    ]
+    joined = sides[0].unionByName(sides[1]).repartition(max(1, min(100_000, sum(x * y for *_, x, y in pairs))), "a", "p", "b", "q").sortWithinPartitions("a", "p", "b", "q", "side", "cell", "part")
+
+    def read(b: pa.RecordBatch, i: int) -> tuple:
+        x, ids, copies, keys, tree = (np.frombuffer(b.column(j)[i].as_py(), t) for j, t in ((7, np.float64), (8, np.int64), (9, np.int64), (10, np.int64), (11, np.float64)))
+        return x.reshape(len(ids), -1), unflat(tree.reshape(-1, 5)), ids, copies, keys
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(whole.num_rows):
-                same, *raw = (whole.column(j)[i].as_py() for j in range(9))
-                ids, copies, tree = (np.frombuffer(raw[j], t) for j, t in ((1, np.int64), (2, np.int64), (3, np.float64)))
-                ids2, copies2, tree2 = (np.frombuffer(raw[j], t) for j, t in ((5, np.int64), (6, np.int64), (7, np.float64)))
-                x, y = np.frombuffer(raw[0], np.float64).reshape(len(ids), -1), np.frombuffer(raw[4], np.float64).reshape(len(ids2), -1)
-                found = link_blocks(x, y, unflat(tree.reshape(-1, 5)), unflat(tree2.reshape(-1, 5)), copies, copies2, same, least)
-                a, k = (ids, found.nx) if same else (np.concatenate([ids, ids2]), np.concatenate([found.nx, found.ny]))
+        pair, held, alone = None, [], True
+        counts: list[tuple[np.ndarray, np.ndarray]] = []
+        edges: list[np.ndarray] = []
+
+        def compare(one: tuple, two: tuple, same: bool) -> None:
+            if one[0].shape[1] != two[0].shape[1]:
+                return
+            found = link_blocks(one[0], two[0], one[1], two[1], one[3], two[3], same, least)
+            for keys, k in ((one[4], found.nx), *(() if same else ((two[4], found.ny),))):
                 some = np.flatnonzero(k)
-                yield pa.RecordBatch.from_arrays([pa.array(a[some]), pa.nulls(len(some), pa.int64()), pa.array(k[some])], names=["a", "b", "n"])
-                if found.edges:
-                    e = np.stack([np.concatenate(s) for s in zip(*found.edges)], axis=1)
-                    e = np.unique(e, axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(a[e[:, 0]]), pa.array(a[e[:, 1]]), pa.nulls(len(e), pa.int64())], names=["a", "b", "n"])
+                if len(some):
+                    counts.append((keys[some], k[some]))
+            if found.edges:
+                ids = one[2] if same else np.concatenate([one[2], two[2]])
+                edges.append(np.unique(ids[np.stack([np.concatenate(e) for e in zip(*found.edges)], axis=1)], axis=0))
+
+        def flush() -> pa.RecordBatch:
+            k, c = (np.concatenate(x) for x in zip(*counts)) if counts else (np.empty(0, np.int64),) * 2
+            e = np.concatenate(edges) if edges else np.empty((0, 2), np.int64)
+            counts.clear()
+            edges.clear()
+            key, turned = np.unique(k, return_inverse=True)
+            total = np.zeros(len(key), np.int64)
+            np.add.at(total, turned, c)
+            none = np.arange(len(key) + len(e)) < len(key)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([key, e[:, 0]])), pa.array(np.concatenate([np.zeros(len(key), np.int64), e[:, 1]]), mask=none), pa.array(np.concatenate([total, np.zeros(len(e), np.int64)]), mask=~none)], names=["a", "b", "n"])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                now = tuple(b.column(j)[i].as_py() for j in range(4))
+                if now != pair:
+                    pair, held, alone = now, [], now[0] == now[2] and now[1] == now[3]
+                new = read(b, i)
+                for old in held:
+                    if alone or b.column(4)[i].as_py() == 1:
+                        compare(old, new, False)
+                if alone:
+                    compare(new, new, True)
+                if b.column(4)[i].as_py() == 0:
+                    held.append(new)
+                if sum(map(len, edges)) > 100_000 or len(counts) > 5000:
+                    yield flush()
+        yield flush()
 
     found = cut(map_arrow(joined, traverse, "a long, b long, n long"))
-    return found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n")), found.where("n is null").select("a", "b")
+    return found.where("n is not null").groupBy(F.col("a").alias("h1")).agg(F.sum("n").alias("n")), found.where("n is null").select("a", "b")
 
 
 def op1_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """A null, zero or non-finite vector links with nothing; see embedding_links."""
     return embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 

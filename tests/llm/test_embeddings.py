@@ -38,12 +38,14 @@ def cloud(dim, seed=1):
     return out + [dense + rng.normal(size=dim) * 0.01 for _ in range(120)]
 
 
-@pytest.mark.parametrize(("dim", "block"), [(8, 4096), (8, 40), (3, 64), (24, 50)])
-def test_matches_brute_force(spark, dim, block):
+@pytest.mark.parametrize(("dim", "block", "group"), [(8, 4096, 1 << 26), (8, 40, 1 << 26), (8, 40, 2000), (3, 64, 1 << 12), (24, 50, 1 << 14)])
+def test_matches_brute_force(spark, dim, block, group, monkeypatch):
+    """In few blocks and many, and in groups of few bytes."""
+    monkeypatch.setattr(M, "BLOCK", 8)
     vectors = cloud(dim)
     rows = [(1000 - k, list(v)) for k, v in enumerate(vectors)] + [(2000 + k, list(vectors[k * 7])) for k in range(40)] + [(3000 + k, list(vectors[5] * (k + 2))) for k in range(3)]
     count, links = brute(rows)
-    got = {r.vec_id: r for r in M.embedding_links(table(spark, rows).repartition(3), block=block).collect()}
+    got = {r.vec_id: r for r in M.embedding_links(table(spark, rows).repartition(3), block_bytes=8 * dim * block, group_bytes=group).collect()}
     ids = [i for i, _ in rows]
     root = groups_of(ids, [(ids[a], ids[b]) for a, b in links])
     assert len(links) > 5000
@@ -75,3 +77,20 @@ def test_tree_covers_its_members():
         assert d.max() <= node.radius + 1e-7 and node.radius <= above + 1e-7
         assert not node.children or (node.children[0].lo, node.children[-1].hi) == (node.lo, node.hi)
         todo += [(c, above / 2) for c in node.children]
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for dim in (4, 5):
+        base = rng.normal(size=(10, dim))
+        rows += [(dim * 100 + 10 * k + j, list(b + rng.normal(size=dim) * 0.05)) for k, b in enumerate(base) for j in range(8)]
+    rows.append((999, [1.0] * 7))
+    count, links = brute(rows)
+    ids = [i for i, _ in rows]
+    root = groups_of(ids, [(ids[a], ids[b]) for a, b in links])
+    for group in (1 << 26, 1500):
+        got = {r.vec_id: r for r in M.embedding_links(table(spark, rows), group_bytes=group).collect()}
+        assert {i: (got[i].n_links, got[i].component_id) for i in ids} == {i: (count[k], root[i]) for k, i in enumerate(ids)}
+    few = {r.vec_id: r for r in M.embedding_links(table(spark, rows), sample=3).collect()}
+    assert {i: (few[i].n_links, few[i].component_id) for i in ids} == {i: (count[k], root[i]) for k, i in enumerate(ids)}
