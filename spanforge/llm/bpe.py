@@ -210,6 +210,7 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """A null text is empty: no token, and the digests of nothing. Repeated rows and null ids come back as they are given."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -118,11 +118,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, most_hot: int = 200, least: int = 10_000) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, most_hot: int = 200, least: int = 10_000, fits: Column | None = None) -> DataFrame:
     """Inner join of left to right, where right has one row per key and `weight` is about how many rows left has of it.
 
     Keys with over 1 / most_hot of the total weight are broadcast, so their rows stay where they are;
-    there can't be more than most_hot of them. The rest is shuffled. right is read several
+    there can't be more than most_hot of them. The rest is shuffled. fits: a condition on right's rows that bounds the size of
+    those that are broadcast, where they can be long; hot ones beyond it are shuffled, and split by adaptive execution. right is read several
     times: checkpoint it first.
     """
     total = right.agg(F.sum(weight)).first()[0] or 0
@@ -131,8 +132,9 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, m
         return left.join(right, keys)
     # left is read once: rows of hot keys have their match before the shuffle, and a salt that spreads them there
     values = F.struct(*[c for c in right.columns if c not in keys])
-    hot = right.where(F.col(weight) > bar).select(*keys, values.alias("_hot"))
-    cold = right.where(F.col(weight) <= bar).select(*keys, F.lit(0).alias("_salt"), values.alias("_cold"))
+    is_hot = F.col(weight) > bar if fits is None else (F.col(weight) > bar) & fits
+    hot = right.where(is_hot).select(*keys, values.alias("_hot"))
+    cold = right.where(~is_hot).select(*keys, F.lit(0).alias("_salt"), values.alias("_cold"))
     spread = 1 + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(1 << 20)).cast("int")
     tried = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(spread))
     met = tried.join(cold, [*keys, "_salt"], "left").withColumn("_of", F.coalesce("_hot", "_cold")).where(F.col("_of").isNotNull())

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +39,16 @@ DIRECT = 1 << 16
 SLACK = 1e-9
 
 
-def unit_rows(vectors: list) -> np.ndarray:
-    x = np.array(vectors, dtype=np.float64)
+def unit_rows(vectors) -> np.ndarray:
+    """Vectors of one length, as lists or an Arrow column of lists, as rows of length 1."""
+    x = flat_values(vectors).reshape(len(vectors), -1) if isinstance(vectors, (pa.Array, pa.ChunkedArray)) else np.array(vectors, dtype=np.float64)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def flat_values(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(pc.list_flatten(vectors)).astype(np.float64, copy=False)
+
+
 def net(x: np.ndarray, most: int) -> np.ndarray:
     """At most `most` rows of x by farthest-first choice: every prefix is a net of about halving radii."""
     chosen, near = [0], x @ x[0]
@@ -67,9 +73,10 @@ class Node:
 def cover_tree(x: np.ndarray, least: float) -> tuple[np.ndarray, Node]:
     """An order of the rows of x, and the root over them. Levels' radii are 1, 1/2, 1/4 and so on down to about `least`."""
     order: list[int] = []
+    all_ = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ x.T))) if len(x) <= 2048 else None
 
     def distances(at: int, rest: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0.0, 2 - 2 * (x[rest] @ x[at])))
+        return all_[at][rest] if all_ is not None else np.sqrt(np.maximum(0.0, 2 - 2 * (x[rest] @ x[at])))
 
     def build(members: np.ndarray, far: np.ndarray, radius: float) -> Node:
         """members[0] is the centre; far: distances from it."""
@@ -294,14 +301,14 @@ def class_links(classes: DataFrame, n: int, least: float, sample: int, block_byt
         centres, first = held.value
         for b in batches:
             cells, far = np.empty(b.num_rows, np.int64), np.zeros(b.num_rows)
-            vs = b.column(0).to_pylist()
-            sizes = np.array([len(v) for v in vs])
+            vs = b.column(0)
+            sizes = pc.list_value_length(vs).to_numpy()
             for d in np.unique(sizes):
                 at = np.flatnonzero(sizes == d)
                 if d not in centres:  # a length that the sample has none of: a cell of its own without a bound
                     cells[at], far[at] = -d, 2.0
                     continue
-                near = unit_rows([vs[i] for i in at]) @ centres[d].T
+                near = unit_rows(vs.take(pa.array(at))) @ centres[d].T
                 best = near.argmax(axis=1)
                 cells[at] = first[d] + best
                 far[at] = np.sqrt(np.maximum(0.0, 2 - 2 * near[np.arange(len(at)), best]))
@@ -344,7 +351,7 @@ def class_links(classes: DataFrame, n: int, least: float, sample: int, block_byt
     sized = placed.join(F.broadcast(known), "cell").withColumn("part", F.pmod(F.xxhash64("rep", "h1"), F.col("parts")).cast("int"))
 
     def grow(t: pa.Table) -> pa.Table:
-        x = unit_rows(t.column("v").to_pylist())
+        x = unit_rows(t.column("v"))
         order, root = cover_tree(x, theta / 4)
         ids, copies, keys = (t.column(c).to_numpy()[order] for c in ("rep", "copies", "h1"))
         row = [t.column("grp")[0].as_py(), t.column("in_parts")[0].as_py(), t.column("cell")[0].as_py(), t.column("part")[0].as_py(), x[order].tobytes(), ids.tobytes(), copies.tobytes(), keys.tobytes(), flat(root).tobytes()]

@@ -79,14 +79,14 @@ def fingerprint(text: bytes, width: int = 3, bits: int = 64, seed: int = 42, onc
 
 
 def with_fingerprints(docs: DataFrame, width: int = 3, bits: int = 64, seed: int = 42, once: bool = False) -> DataFrame:
-    """(doc_id long, fp binary)"""
+    """(doc_id long, fp binary), and sum, the text's 64-bit hash, which tells rows of one id apart."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             fps = [fingerprint(t, width, bits, seed, once) for t in bytes_of(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), b.column(2)], names=["doc_id", "fp", "sum"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), each, "doc_id long, fp binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("sum")), each, "doc_id long, fp binary, sum long")
 
 
 def words_of(fps: list[bytes], bits: int) -> np.ndarray:
@@ -345,8 +345,9 @@ def verified(edges: DataFrame, docs: DataFrame, similarity: float, width: int) -
     asked = pairs.groupBy("a").agg(F.count("*").alias("n")).unionByName(pairs.groupBy(F.col("b").alias("a")).agg(F.count("*").alias("n")))
     asked = asked.groupBy("a").agg(F.sum("n").alias("n"))
     texts = cut(docs.select(F.col("doc_id").cast("long").alias("a"), "text").join(asked, "a").groupBy("a").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("n").alias("n")))
-    left = skew_join(pairs, texts.withColumnRenamed("text", "x"), ["a"], "n").select("a", "b", "x")
-    both = skew_join(left, texts.select(F.col("a").alias("b"), F.col("text").alias("y"), "n"), ["b"], "n").select("a", "b", "x", "y")
+    short = lambda c: F.octet_length(c) <= 1 << 16
+    left = skew_join(pairs, texts.withColumnRenamed("text", "x"), ["a"], "n", fits=short("x")).select("a", "b", "x")
+    both = skew_join(left, texts.select(F.col("a").alias("b"), F.col("text").alias("y"), "n"), ["b"], "n", fits=short("y")).select("a", "b", "x", "y")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "x", 4 << 20):
@@ -363,7 +364,7 @@ def expected_distance(similarity: float, bits: int, deviations: float = 0) -> in
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits: int = 512, recall: float = 0.96) -> DataFrame:
-    """(doc_id, fp, component_id) as in simhash_groups, linked where sets of word shingles have that Jaccard similarity.
+    """(doc_id, fp, sum, component_id) as in simhash_groups, with the xxhash64 of the text, linked where sets of word shingles have that Jaccard similarity.
 
     Fingerprints only propose pairs, up to four standard deviations beyond the distance expected at the
     similarity, where one pair in 25 still goes unmet; each link is verified by the texts. Close pairs are proposed as forests and
@@ -377,9 +378,10 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, bit
     rest = verified(link_edges(grouped, bits, expected_distance(similarity, bits, 4), recall=recall), docs, similarity, width)
     roots = components(close.unionByName(rest))
     named = cut(reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", "copies", F.coalesce("root", "rep").alias("component_id")))
-    return skew_join(prints, named, ["fp"], "copies").select("doc_id", "fp", "component_id")
+    return skew_join(prints, named, ["fp"], "copies").select("doc_id", "fp", "sum", "component_id")
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """A null or wordless text has fingerprint zero, and is linked like any other; see simhash_groups."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return simhash_groups(docs).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

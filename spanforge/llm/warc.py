@@ -14,6 +14,7 @@ import gzip
 import hashlib
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -51,13 +52,13 @@ def header_text(value: str) -> str:
     return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, first: int | None = None, first_url: str | None = None, date: str = DATE) -> bytes:
-    """One record as a gzip member: a response, or a revisit of page `first`."""
+def record(page_id: int | None, url: str | None, payload: bytes, first: int | None = None, first_url: str | None = None, date: str = DATE, mark: str = "") -> bytes:
+    """One record as a gzip member: a response, or a revisit of page `first`. mark: tells a revisit's id from those of other rows of its page."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if first is None else 'revisit'}",
-        f"WARC-Record-ID: <{RECORD_ID}{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{RECORD_ID}{'' if page_id is None else page_id}{'' if first is None else mark}>",
         f"WARC-Date: {date}",
         "Content-Type: application/http;msgtype=response",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(payload).digest()).decode()}",
@@ -101,13 +102,15 @@ def records(stream) -> Iterator[dict]:
         yield {**head, "http": {k.strip().lower(): v.strip() for k, _, v in fields}, "payload": payload}
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, date: str | None = None) -> DataFrame:
     """Write a record for each row of pages (page_id, url, html) into archives in `folder`; returns (path, records, bytes), already written.
 
     A null html is an empty payload. Rows with equal payloads of at least min_bytes: those with the smallest page_id are
     responses, the others revisit it; a row without a page_id is a revisit wherever another has one.
-    Smaller payloads are all responses. Repeated rows are as many records. No row, no archive.
+    Smaller payloads are all responses. Repeated rows are as many records; those of a response are one record, with one id, as often as
+    it is given, and each revisit has an id of its own. No row, no archive. date: of all records, or that of this call.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     found = resolve_revisits(pages, min_bytes).select(F.col("page_id").alias("id_"), F.col("digest").alias("digest_"), "first", "first_url")
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
@@ -136,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
                     name = f"{root}/part-{context.partitionId():06d}-{number:04d}.warc.gz"
                     draft = f"{root}/.draft-{context.taskAttemptId()}-{number:04d}"
                     stream, n, size, number = target.open_output_stream(draft, compression=None), 0, 0, number + 1
-                made = record(page_id, url, payload, first, first_url)
+                made = record(page_id, url, payload, first, first_url, date, f"#{context.partitionId()}-{number}-{n}")
                 stream.write(made)
                 n, size = n + 1, size + len(made)
                 if size >= archive_bytes:
@@ -158,7 +161,7 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def number(text: str | None) -> int | None:
-        digits = (text or "")[len(RECORD_ID) + 1 : -1]
+        digits = (text or "")[len(RECORD_ID) + 1 : -1].partition("#")[0]
         return int(digits) if digits else None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,3 +58,19 @@ def test_broken_archives_are_told(tmp_path):
     assert next(W.records(io.BytesIO(whole)))["payload"] == b"payload"
     with pytest.raises((ValueError, EOFError)):
         list(W.records(io.BytesIO(whole[:-12])))
+
+
+def test_ids_and_dates(spark, tmp_path):
+    """Revisits have ids of their own, also of repeated rows; all records have the date given, or that of the call."""
+    rows = spark.createDataFrame([(1, "u", "<p>"), (2, "v", "<p>"), (2, "v", "<p>"), (3, None, "<q>")], "page_id long, url string, html string")
+    for date in ("2020-02-02T02:02:02Z", None):
+        folder = f"file://{tmp_path}/{date or 'now'}"
+        found = []
+        for r in W.write_archives(rows, folder, date=date).collect():
+            with open(r.path.removeprefix("file://"), "rb") as f:
+                found += list(W.records(f))
+        ids = [x["warc-record-id"] for x in found]
+        assert len(found) == 4 and len(set(ids)) == 4
+        dates = {x["warc-date"] for x in found}
+        assert dates == {date} if date else len(dates) == 1 and dates.pop() > "2024-06"
+        assert {x["warc-refers-to"] for x in found if x["warc-type"] == "revisit"} == {f"<{W.RECORD_ID}1>"} <= {f"<{W.RECORD_ID}1>", *ids}
