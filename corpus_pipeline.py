@@ -34,10 +34,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of about 0.8 similar five-word shingles or more; rows without an id stay."""
-    groups = similar_groups(docs)
-    lost = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """One document, that with the smallest doc_id, of each group linked by 0.8 similar five-word shingles or more; rows without an id stay, and of several texts of one id each goes or stays by its own group."""
+    lost = similar_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("id_"), F.col("sum").alias("sum_")).distinct()
+    return docs.join(lost, (F.col("doc_id").cast("long") == F.col("id_")) & (F.xxhash64("text") == F.col("sum_")), "left_anti").select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
