@@ -128,19 +128,18 @@ def chunk_lines(cues: DataFrame, gap: float = 6.0, span: float = 90.0, least: in
     A chunk ends where its last cue does. Where it breaks hangs on where it began, so this is a fold
     over one item's cues; columns: media_id, chunk, start, end, lines (array of idx, start, end, text).
     """
-    line = "struct<idx:int,start:double,end:double,text:string>"
-    items = F.sort_array(F.collect_list(F.struct("idx", "start", "end", "text"))).cast(f"array<{line}>")
-    zero = F.struct(F.array().cast(f"array<array<{line}>>").alias("done"), F.array().cast(f"array<{line}>").alias("open"))
+    items = F.sort_array(F.collect_list(F.struct("idx", "start", "end", "text")))
+    zero = F.struct(F.array().cast("array<int>").alias("breaks"), F.lit(0).alias("i"), F.lit(0.0).alias("first"), F.lit(0.0).alias("last"))
 
     def step(acc: Column, x: Column) -> Column:
-        cur = acc["open"]
-        last, first = F.try_element_at(cur, F.lit(-1)), F.try_element_at(cur, F.lit(1))
-        cut = (F.size(cur) > 0) & ((x["start"] - last["end"] > gap) | (x["end"] - first["start"] > span))
-        done = F.when(cut, F.concat(acc["done"], F.array(cur))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.when(cut, F.array(x)).otherwise(F.concat(cur, F.array(x))).alias("open"))
-
-    finish = lambda acc: F.filter(F.concat(acc["done"], F.array(acc["open"])), lambda c: F.size(c) >= least)
-    chunks = cues.groupBy(MEDIA).agg(items.alias("_items")).select(MEDIA, F.posexplode(F.aggregate("_items", zero, step, finish)).alias("chunk", "lines"))
+        new = (acc["i"] == 0) | (x["start"] - acc["last"] > gap) | (x["end"] - acc["first"] > span)
+        breaks = F.when(new, F.concat(acc["breaks"], F.array(acc["i"]))).otherwise(acc["breaks"])
+        return F.struct(breaks.alias("breaks"), (acc["i"] + 1).alias("i"), F.when(new, x["start"]).otherwise(acc["first"]).alias("first"), x["end"].alias("last"))
+
+    # the fold carries where chunks begin, not the cues
+    folded = cues.groupBy(MEDIA).agg(items.alias("_items")).withColumn("_b", F.aggregate("_items", zero, step, lambda acc: acc["breaks"]))
+    cut = F.transform("_b", lambda at, k: F.slice("_items", at + 1, F.coalesce(F.get("_b", k + 1), F.size("_items")) - at))
+    chunks = folded.select(MEDIA, F.posexplode(F.filter(cut, lambda c: F.size(c) >= least)).alias("chunk", "lines"))
     return chunks.select(MEDIA, "chunk", F.col("lines")[0]["start"].alias("start"), F.element_at("lines", -1)["end"].alias("end"), "lines")
 
 

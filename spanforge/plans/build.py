@@ -72,7 +72,7 @@ def build_edl(x: Inputs, s: Settings) -> DataFrame:
         edl = appended(edl, scan_words(x.words, lexicon, s.actions, x.replacements, s.context_window))
     if x.visual is not None:
         edl = appended(edl, x.visual)
-    edl = renumbered(merge_overlapping(pad(edl, s.pad), s.merge_gap))
+    edl = merge_overlapping(pad(edl, s.pad), s.merge_gap)  # merged rows are numbered in order
     for on, rows in ((s.llm, x.llm), (s.audio, x.audio)):
         if on and rows is not None:
             edl = appended(edl, rows)
@@ -82,7 +82,7 @@ def build_edl(x: Inputs, s: Settings) -> DataFrame:
         edl = appended(edl, renumbered(rows).select(DECISION_COLUMNS))
     if s.vlm and x.vlm is not None:
         edl = appended(edl, x.vlm)
-    edl = renumbered(merge_overlapping(edl, s.merge_gap))
+    edl = merge_overlapping(edl, s.merge_gap)
     if s.snap and x.shots is not None:
-        edl = renumbered(merge_overlapping(snap(edl, x.shots), 0.0))
+        edl = merge_overlapping(snap(edl, x.shots), 0.0)
     return mark_unsupported(edl, s.corroborate_radius) if s.corroborate else edl
