@@ -173,9 +173,10 @@ class SubwordSoftmax:
         grams = grams.astype(np.int32)
         per_word = np.diff(np.append(begin, len(grams)))
         docs = Sparse(np.array(row, np.int32), np.array(col, np.int32), np.array(weight, np.float32), (len(rows), len(index)))
+        del row, col, weight
         bag = Sparse(np.repeat(np.arange(len(index), dtype=np.int32), per_word), grams, np.repeat(1 / per_word, per_word), (len(index), len(used)))
-        squares = Sparse(*docs.of_row[:2], docs.of_row[2] ** 2, docs.shape).tdot(np.ones((len(rows), 1), np.float32))
-        spread = Sparse(*bag.of_row[:2], bag.of_row[2] ** 2, bag.shape).tdot(squares)[:, 0]
+        squares = np.bincount(docs.of_row[1], docs.of_row[2] ** 2, len(index)).astype(np.float32)
+        spread = np.bincount(bag.of_row[1], bag.of_row[2] ** 2 * squares[bag.of_row[0]], len(used))
         scale = 1 / np.sqrt(spread + rare * spread.sum() / max(1, len(docs.of_row[0]) * 8))
         length = np.sqrt(np.square(docs.dot(bag.dot(scale[:, None]))).mean())
         scale = (scale / max(length, 1e-12) * 30)[:, None].astype(np.float32)
