@@ -673,13 +673,22 @@ def t10(spark, d):
 @query("s1_srt_roundtrip", f"WITH {A.sql('subs')} SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY idx)::INT AS idx, s AS start, e AS \"end\", rtrim(regexp_replace(text, '\\n+', ' ', 'g')) AS text FROM subs")
 def s1(spark, d):
     flat = A.subs(spark, d).withColumn("text", F.regexp_replace("text", r"\n+", " "))
-    documents = S.srt_documents(flat)
-    return S.parse_srt(documents)
+    return through_files(spark, lambda at: S.write_srt(flat, at), lambda at: S.read_srt(spark, at))
+
+
+def through_files(spark, write: Callable[[str], None], read: Callable[[str], DataFrame]) -> DataFrame:
+    """What is read back of what is written, in a folder that is gone afterwards."""
+    at = f"{checkpoint_folder(spark)}/files-{uuid.uuid4().hex}"
+    write(at)
+    back = read(at).checkpoint()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return back
 
 
 @query("s3_edl_roundtrip", f"{WITH_EDL} SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY seq) - 1)::BIGINT AS seq, s AS start, e AS \"end\", action, category, reason, text_before, text_after, source, accepted FROM edl")
 def s3(spark, d):
-    return S.parse_edl(S.edl_documents(A.edl(spark, d), A.media(spark, d)))
+    return through_files(spark, lambda at: S.write_edl(A.edl(spark, d), A.media(spark, d), at), lambda at: S.read_edl(spark, at))
 
 
 @query("s4_words_roundtrip", f'WITH {A.sql("words")} SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY pos) - 1)::BIGINT AS pos, s AS start, e AS "end", text FROM words')

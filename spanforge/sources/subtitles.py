@@ -18,12 +18,13 @@ def _media(path: str | None) -> Column:
 
 
 def read_srt(spark: SparkSession, path: str, media: str | None = r"(\d+)\.srt$") -> DataFrame:
-    """Cues of SRT files: (media_id, idx, start, end, text). media: a pattern whose group is the item's id in the file name.
+    """Cues of SRT files: (media_id, idx, start, end, text). media: a pattern whose group is the item's id in the file name, unless the folders say it as write_srt's do.
 
     Blocks that aren't cues are left out; bytes that aren't UTF-8 become U+FFFD.
     """
-    whole = spark.read.text(path, wholetext=True).select(_media(media).cast("bigint").alias(MEDIA), "value")
-    return parse_srt(whole)
+    whole = spark.read.text(path, wholetext=True)
+    item = F.col(MEDIA) if MEDIA in whole.columns else _media(media)
+    return parse_srt(whole.select(item.cast("bigint").alias(MEDIA), "value"))
 
 
 def parse_srt(documents: DataFrame) -> DataFrame:

@@ -124,6 +124,7 @@ def test_srt(spark, tmp_path):
     assert got == [(7, 1, 1.5, 2.0, "Hello\nthere"), (7, 2, 60.0, 3600.25, "Last")]
     out = str(tmp_path / "out")
     S.write_srt(S.read_srt(spark, str(tmp_path / "7.srt")), out)
+    assert sorted((r.media_id, r.start, r.end, r.text) for r in S.read_srt(spark, out).collect()) == sorted((r[0], *r[2:]) for r in got)
     value = S.srt_documents(S.read_srt(spark, str(tmp_path / "7.srt"))).first().value
     assert value.startswith("1\n00:00:01,500 --> 00:00:02,000\nHello\nthere\n\n2\n00:01:00,000 --> 01:00:00,250\nLast\n")
 
