@@ -1,4 +1,4 @@
-"""A whole run: detector tables in, the decision list out, as one lazy plan."""
+"""A whole run: detector tables in, the decision list out."""
 
 from __future__ import annotations
 
@@ -77,6 +77,9 @@ def build_edl(x: Inputs, s: Settings) -> DataFrame:
         if on and rows is not None:
             edl = appended(edl, rows)
     if s.density:
+        # the list is read twice from here, by the clusters and by what they are appended to
+        checkpoint_folder(edl.sparkSession)
+        edl = edl.checkpoint()
         dense = density_clusters(edl, s.density_window, s.density_events, s.density_span)
         rows = dense.withColumns({"seq": F.lit(0).cast("bigint"), "action": F.lit("cut"), "text_before": F.lit(""), "text_after": F.lit(""), "source": F.lit("density"), "accepted": F.lit(True)})
         edl = appended(edl, renumbered(rows).select(DECISION_COLUMNS))
