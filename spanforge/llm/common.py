@@ -45,10 +45,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared folder, smaller than a checkpoint, and the table's path; remove() it when nothing reads it any more."""
+def written(df: DataFrame, what: str, plain: bool = False) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, smaller than a checkpoint, and the table's path; remove() it when nothing reads it any more. plain: columns that are compressed or random already are left as they are."""
     path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    options = {"compression": "none", "parquet.enable.dictionary": "false"} if plain else {}
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
