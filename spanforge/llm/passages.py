@@ -17,6 +17,11 @@ that the passages found so far don't cover, and all of whose seeds earlier docum
 have, is hashed as a whole, and so are the runs about the same least seed in every
 document that has it. Equal runs meet by their hash: no exact copy is lost.
 
+Passages with changed words have no such runs. For them, each seed that is still not
+covered makes links with the other matched seeds about it, and every document that has
+both seeds of a link, in order, meets the document there, at all places: all partners
+of what is left are chained and aligned, not the first and the last one alone.
+
 Hashes that a bounded sample of documents shows to be frequent are salted by
 document while they are gathered, and then matched to the first of all salts: which
 ones are salted changes no match to a first holder.
@@ -42,6 +47,8 @@ SALTS = 64
 #: Words of the other document around a chain that its alignment may extend over, and words of a block of a document.
 MARGIN, BLOCK = 48, 64
 GAP = 1 / 64
+#: Words between the two seeds of a link, at most; at least as many as between the ends of a chain.
+REACH = 127
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -287,8 +294,8 @@ def matches(docs: DataFrame, k: int, window: int) -> tuple[DataFrame, str]:
     return found.where("other is not null").unionByName(second), path
 
 
-def document_chains(p: np.ndarray, o: np.ndarray, t: np.ndarray, k: int, least: int) -> list[tuple]:
-    """(other, at, to): the chains of a document's matches (sorted by other, pos, to) that span `least` words, without those that repeat a part of a longer one at the same distances."""
+def document_chains(p: np.ndarray, o: np.ndarray, t: np.ndarray, k: int, least: int, every: bool = False) -> list[tuple]:
+    """(other, at, to): the chains of a document's matches (sorted by other, pos, to) that span `least` words; unless every, without those that repeat a part of a longer one at the same distances."""
     found = []
     starts = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
     for i, j in zip(starts, [*starts[1:], len(o)]):
@@ -296,6 +303,8 @@ def document_chains(p: np.ndarray, o: np.ndarray, t: np.ndarray, k: int, least:
             for links in chain(p[i:j].astype(np.int64), t[i:j].astype(np.int64)):
                 if len(links) > 1 and p[i + links[-1]] - p[i + links[0]] + k >= least:
                     found.append((int(o[i]), p[i:j][links], t[i:j][links]))
+    if every:
+        return found
     kept, by_place = [], {}
     for other, at, to in sorted(found, key=lambda c: (-len(c[1]), c[0], c[1][0], c[2][0])):
         places, far = at.tolist(), (to - at).tolist()
@@ -308,16 +317,21 @@ def document_chains(p: np.ndarray, o: np.ndarray, t: np.ndarray, k: int, least:
     return kept
 
 
-def chained(found: DataFrame, k: int, window: int, min_words: int) -> DataFrame:
-    """(doc, late, chains) of the documents that may hold a passage: chains of at least two seeds (other, at, to), and the positions of all matched seeds if they lie close enough for a run of min_words words."""
-    least, span = max(k, min_words // 2), min_words - k + 1 - 2 * window + 1
+def least_span(k: int, min_words: int) -> int:
+    """Words that a chain spans at least."""
+    return max(k, min_words // 2)
+
+
+def chained(found: DataFrame, k: int, window: int, min_words: int, every: bool = False) -> DataFrame:
+    """(doc, close, late, chains) of the documents that may hold a passage: chains of at least two seeds (other, at, to), whether the matched seeds lie close enough for a run of min_words words, and the positions of all of them if so or if they make a link."""
+    least, span = least_span(k, min_words), min_words - k + 1 - 2 * window + 1
     kind = pa.list_(pa.struct([("other", pa.int64()), ("at", pa.list_(pa.int32())), ("to", pa.list_(pa.int32()))]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = None, []
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.list_(pa.int32()), kind))], names=["doc", "late", "chains"])
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.bool_(), pa.list_(pa.int32()), kind))], names=["doc", "close", "late", "chains"])
             rows.clear()
             return out
 
@@ -325,9 +339,10 @@ def chained(found: DataFrame, k: int, window: int, min_words: int) -> DataFrame:
             late = np.unique(p)
             ends = np.flatnonzero(np.concatenate([np.diff(late) > window, [True]]))
             close = bool((late[ends] - late[np.concatenate([[0], ends[:-1] + 1])] >= span).any())
-            chains = document_chains(p, o, t, k, least)
-            if close or chains:
-                rows.append((int(d[0]), late if close else None, [{"other": c[0], "at": c[1], "to": c[2]} for c in chains]))
+            chains = document_chains(p, o, t, k, least, every)
+            linked = close or bool(len(link_pairs(late, least - k)[0]))
+            if linked or chains:
+                rows.append((int(d[0]), close, late if linked else None, [{"other": c[0], "at": c[1], "to": c[2]} for c in chains]))
 
         for b in batches:
             if not b.num_rows:
@@ -348,7 +363,54 @@ def chained(found: DataFrame, k: int, window: int, min_words: int) -> DataFrame:
 
     # a document's matches are at most two for each of its seeds
     placed = found.select("doc", "other", "pos", "to").repartition("doc").sortWithinPartitions("doc", "other", "pos", "to")
-    return map_arrow(placed, each, "doc long, late array<int>, chains array<struct<other:long,at:array<int>,to:array<int>>>")
+    return map_arrow(placed, each, "doc long, close boolean, late array<int>, chains array<struct<other:long,at:array<int>,to:array<int>>>")
+
+
+def link_pairs(at: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs of positions (sorted) that lie `near` to REACH words apart."""
+    first, last = np.searchsorted(at, at + near), np.searchsorted(at, at + REACH, side="right")
+    n = np.maximum(last - first, 0)
+    i = np.repeat(np.arange(len(at)), n)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+def turning(words: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """seeds, but of a row of equal ones (a text that repeats itself within a window) only the two at its ends."""
+    at, h = seeds(words, k, window)
+    if len(h) > 2:
+        ends = np.concatenate([[True], (h[1:-1] != h[:-2]) | (h[1:-1] != h[2:]), [True]])
+        at, h = at[ends], h[ends]
+    return at, h
+
+
+def link_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ b
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0xD6E8FEB86659FD93)
+
+
+def open_links(words: np.ndarray, late: list[int], spans: list[tuple[int, int]], k: int, window: int, near: int) -> list[np.ndarray]:
+    """[position, position, seed, seed, hash] of the links of late seeds of which the spans don't cover both."""
+    at, h = turning(words, k, window)
+    known = np.isin(at, late)
+    at, h = at[known], h[known]
+    free = np.ones(len(words) + 1, np.int64)
+    for a, b in spans:
+        free[a:b] = 0
+    before = np.concatenate([[0], np.cumsum(free)])
+    bare = before[at + k] > before[at]
+    i, j = link_pairs(at, near)
+    some = bare[i] | bare[j]
+    i, j = i[some], j[some]
+    return [at[i], at[j], h[i], h[j], link_hashes(h[i], h[j])]
+
+
+def unlike_places(words: np.ndarray, k: int, at: np.ndarray, to: np.ndarray, link: np.ndarray) -> np.ndarray:
+    """Indices of the links at -> to that differ in their hash or in the words up to REACH before and behind them: a text that repeats itself has each once, and its beginning and its end."""
+    first, last = np.maximum(at - REACH, 0), np.minimum(to + k + REACH, len(words))
+    around = run_hashes(words, first, last - first)
+    shape = ((at - first) << 40) + ((to - at) << 20) + last - at
+    return np.unique(np.stack([link, around, shape.astype(np.uint64)]), axis=1, return_index=True)[1]
 
 
 def text_key(text: bytes) -> int:
@@ -479,15 +541,47 @@ def covering(spans: DataFrame) -> DataFrame:
     return map_arrow(placed, each, "doc long, key long, start long, end long, other_id long, far long")
 
 
+def having(found: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(doc, hashes): the documents that have some of the hashes (checkpointed), by all matches of seeds; marked for broadcast if small."""
+    pairs = cut(found.select("doc", "other", "hash").join(small(hashes, 16), "hash").select(F.explode(F.array("doc", "other")).alias("doc"), "hash").distinct())
+    held = pairs.groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
+    return F.broadcast(held) if small(pairs, 40) is not pairs else held
+
+
+def all_partners(links: DataFrame, found: DataFrame, docs: DataFrame, k: int, window: int, near: int) -> DataFrame:
+    """(doc, pos, other, to): both seeds of each link (doc, pos, next, seed, following, link), wherever a document with a smaller id has both in order, at each place that differs in the words about it.
+
+    found: all matches of seeds.
+    """
+    hashes = cut(links.select(F.explode(F.array("seed", "following")).alias("hash")).distinct())
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "text", 4 << 20):
+            for doc, text, wanted in zip(b.column(0).to_pylist(), bytes_of(b.column(1)), b.column(2).to_pylist()):
+                words = word_hashes(text)
+                at, h = turning(words, k, window)
+                known = np.isin(h, np.array(wanted, np.int64).view(np.uint64))
+                at, h = at[known], h[known]
+                i, j = link_pairs(at, near)
+                if len(i):
+                    link = link_hashes(h[i], h[j])
+                    kept = unlike_places(words, k, at[i], at[j], link)
+                    link, i, j = link[kept], i[kept], j[kept]
+                    yield pa.RecordBatch.from_arrays([pa.array(link.view(np.int64)), pa.array(np.full(len(i), doc, np.int64)), pa.array(at[i].astype(np.int32)), pa.array(at[j].astype(np.int32))], names=["link", "other", "to", "to_next"])
+
+    asked = cut(links.groupBy("link").agg(F.max("doc").alias("last")))
+    held = map_arrow(docs.join(having(found, hashes), "doc").select("doc", "text", "hashes"), each, "link long, other long, to int, to_next int")
+    partners = held.join(small(asked, 16), "link").where("other < last").drop("last").distinct()
+    met = links.select("doc", "pos", "next", "link").join(partners, "link").where("other < doc")
+    return met.select("doc", "other", F.explode(F.array(F.struct("pos", "to"), F.struct(F.col("next").alias("pos"), F.col("to_next").alias("to")))).alias("x")).select("doc", "x.pos", "other", "x.to").distinct()
+
+
 def exact_runs(open_: DataFrame, found: DataFrame, docs: DataFrame, k: int, n: int) -> DataFrame:
     """Passages for the runs (doc, key, start, run, least) that an earlier document has as they are.
 
     found: all matches of seeds. The documents that have a run's least seed hash their runs about it; only the first holder of each is kept.
     """
     least = cut(open_.select(F.col("least").alias("hash")).distinct())
-    pairs = cut(found.select("doc", "other", "hash").join(small(least, 16), "hash").select(F.explode(F.array("doc", "other")).alias("doc"), "hash").distinct())
-    having = pairs.groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
-    having = F.broadcast(having) if small(pairs, 40) is not pairs else having
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", 4 << 20):
@@ -497,7 +591,7 @@ def exact_runs(open_: DataFrame, found: DataFrame, docs: DataFrame, k: int, n: i
                     at = np.flatnonzero(np.isin(sliding(kmers(words, k), n - k + 1, np.minimum), np.array(hashes, np.int64).view(np.uint64)))
                     yield pa.RecordBatch.from_arrays([pa.array(run_hashes(words, at, n).view(np.int64)), pa.array(np.full(len(at), doc, np.int64)), pa.array(at)], names=["run", "doc", "pos"])
 
-    runs = map_arrow(docs.join(having, "doc").select("doc", "text", "hashes"), each, "run long, doc long, pos long")
+    runs = map_arrow(docs.join(having(found, least), "doc").select("doc", "text", "hashes"), each, "run long, doc long, pos long")
     first = runs.groupBy("run").agg(F.min(F.struct("doc", "pos")).alias("first"))
     asked = cut(open_.groupBy("run").agg(F.count("*").alias("asked")).join(first, "run"))
     met = skew_join(open_, asked, ["run"], "asked").where("first.doc < doc").select("doc", "key", "start", F.col("first.doc").alias("other_id"), (F.col("first.pos") - F.col("start")).alias("far")).distinct()
@@ -514,37 +608,61 @@ def identified(docs: DataFrame) -> DataFrame:
 COLUMNS = ["doc_id", "key", "start", "end", "other_id", "other_start", "other_end", "n_words", "n_equal"]
 
 
-def passage_rows(docs: DataFrame, min_words: int, similarity: float, k: int, window: int) -> DataFrame:
-    """The columns of repeated_passages, and key, the text_key of the text that holds the passage."""
-    if min_words < window + k - 1:
-        raise ValueError("a run of min_words words must have a seed")
-    docs = identified(docs)
-    found, path = matches(docs, k, window)
-    chains = cut(chained(found, k, window, min_words))
-    joined = docs.join(chains, "doc").join(with_blocks(chains, docs), "doc", "left").select("doc", "text", "late", "chains", "pieces")
+def verified(docs: DataFrame, chains: DataFrame, k: int, window: int, min_words: int, similarity: float, near: int) -> DataFrame:
+    """The passages that the chains (checkpointed) of each document stand for; and what they leave, where it has late seeds: rows with run and least are its open runs, those with link as well (positions in start and end, seeds in run and least) its open links."""
+    joined = docs.join(chains, "doc").join(with_blocks(chains, docs), "doc", "left").select("doc", "text", "close", "late", "chains", "pieces")
+    names = [*COLUMNS, "run", "least", "link"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", 4 << 20):
-            out, runs = [], []
-            for doc, text, late, own, pieces in zip(b.column(0).to_pylist(), bytes_of(b.column(1)), *(b.column(i).to_pylist() for i in (2, 3, 4))):
+            out, runs, links = [], [], []
+            for doc, text, close, late, own, pieces in zip(b.column(0).to_pylist(), bytes_of(b.column(1)), *(b.column(i).to_pylist() for i in (2, 3, 4, 5))):
                 words, key = word_hashes(text), text_key(text)
                 passages = passages_of(words.astype(np.uint32), own, pieces or [], k, min_words, similarity)
                 out += [(doc, key, a, e, other, x, y, e - a, equal) for a, e, other, x, y, equal in passages]
                 if late:
-                    at, h, least = open_runs(words, late, [x[:2] for x in passages], k, window, min_words)
-                    runs.append((np.full(len(at), doc, np.int64), np.full(len(at), key, np.int64), at, h.view(np.int64), least.view(np.int64)))
+                    spans = [x[:2] for x in passages]
+                    if close:
+                        at, h, least = open_runs(words, late, spans, k, window, min_words)
+                        runs.append((np.full(len(at), doc, np.int64), np.full(len(at), key, np.int64), at, h.view(np.int64), least.view(np.int64)))
+                    p, q, one, two, link = open_links(words, late, spans, k, window, near)
+                    links.append((np.full(len(p), doc, np.int64), np.full(len(p), key, np.int64), p, q, one.view(np.int64), two.view(np.int64), link.view(np.int64)))
             if out:
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*out)), *[pa.nulls(len(out), pa.int64())] * 2], names=[*COLUMNS, "run", "least"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*out)), *[pa.nulls(len(out), pa.int64())] * 3], names=names)
             if runs and sum(len(r[0]) for r in runs):
                 doc, key, at, h, least = (pa.array(np.concatenate(c)) for c in zip(*runs))
-                yield pa.RecordBatch.from_arrays([doc, key, at, *[pa.nulls(len(at), pa.int64())] * 6, h, least], names=[*COLUMNS, "run", "least"])
+                yield pa.RecordBatch.from_arrays([doc, key, at, *[pa.nulls(len(at), pa.int64())] * 6, h, least, pa.nulls(len(at), pa.int64())], names=names)
+            if links and sum(len(r[0]) for r in links):
+                doc, key, p, q, one, two, link = (pa.array(np.concatenate(c)) for c in zip(*links))
+                yield pa.RecordBatch.from_arrays([doc, key, p, q, *[pa.nulls(len(p), pa.int64())] * 5, one, two, link], names=names)
+
+    return map_arrow(joined, each, ", ".join(f"{c} long" for c in names))
+
 
-    rows = cut(map_arrow(joined, each, ", ".join(f"{c} long" for c in [*COLUMNS, "run", "least"])))
-    aligned, left = rows.where("run is null").select(*COLUMNS), rows.where("run is not null").select(F.col("doc_id").alias("doc"), "key", "start", "run", "least")
+def passage_rows(docs: DataFrame, min_words: int, similarity: float, k: int, window: int) -> DataFrame:
+    """The columns of repeated_passages, and key, the text_key of the text that holds the passage."""
+    if min_words < window + k - 1:
+        raise ValueError("a run of min_words words must have a seed")
+    docs = identified(docs)
+    found, path = matches(docs, k, window)
+    near = least_span(k, min_words) - k
+    rows, rest = written(verified(docs, cut(chained(found, k, window, min_words)), k, window, min_words, similarity, near), "passages")
+    aligned = rows.where("run is null").select(*COLUMNS)
+    left = rows.where("run is not null and link is null").select(F.col("doc_id").alias("doc"), "key", "start", "run", "least")
+    links = rows.where("link is not null").select(F.col("doc_id").alias("doc"), "key", F.col("start").cast("int").alias("pos"), F.col("end").cast("int").alias("next"), F.col("run").alias("seed"), F.col("least").alias("following"), "link")
     if not left.isEmpty():
-        aligned = aligned.unionByName(exact_runs(left, found, docs, k, min_words))
+        exact = cut(exact_runs(left, found, docs, k, min_words))
+        aligned = aligned.unionByName(exact)
+        spans = exact.groupBy(F.col("doc_id").alias("doc"), "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        over = lambda at: F.exists("spans", lambda x: (x["start"] <= at) & (x["end"] >= at + k))
+        links = links.join(spans, ["doc", "key"], "left").where(F.col("spans").isNull() | ~(over(F.col("pos")) & over(F.col("next")))).drop("spans")
+    links = cut(links.drop("key"))
+    if not links.isEmpty():
+        chains = cut(chained(all_partners(links, found, docs, k, window, near), k, window, min_words, every=True))
+        aligned = aligned.unionByName(verified(docs, chains.withColumn("late", F.lit(None).cast("array<int>")), k, window, min_words, similarity, near).select(*COLUMNS))
     passages = cut(aligned.distinct())
-    remove(docs.sparkSession, path)
+    for x in (path, rest):
+        remove(docs.sparkSession, x)
     return passages
 
 
@@ -554,7 +672,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     Columns: doc_id, start and end (word positions; words are what ASCII white space parts, A-Z as a-z), other_id, other_start, other_end, n_words, n_equal.
     A passage has at least min_words words, at least `similarity` of them in common. Every word of a run of min_words
     words that an earlier document holds as it is lies in a passage; of those with differing words, the ones that
-    share seeds in order with a document they are matched to. Null and empty texts have none; rows of one doc_id aren't
+    share seeds in order with any earlier document, min_words / 2 to REACH words apart, and whose seeds no other passage covers. Null and empty texts have none; rows of one doc_id aren't
     compared with each other, and rows without one take no part; repeated rows give each passage once; other columns are
     ignored; an empty table gives an empty result.
     """

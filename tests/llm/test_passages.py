@@ -236,3 +236,31 @@ def test_passages_with_changed_words(spark, docs_of, length, similarity, least):
         found += len(held & set(range(30, 30 + length))) >= 0.8 * length
     assert found >= least * 60
     assert all(r.n_equal >= 0.8 * r.n_words for r in got)
+
+
+def test_no_partner_of_a_fuzzy_passage_is_lost(spark, docs_of):
+    """Documents that hold short parts of a passage, before and between, don't keep two fuzzy copies of it from meeting."""
+    rng = random.Random(12)
+    p = words(rng, 100)
+    copy = [f"changed{i}" if i % 12 == 6 else x for i, x in enumerate(p)]
+    around = lambda x: " ".join(words(rng, 40) + x + words(rng, 40))
+    parts = [p[a : a + 11] for a in range(7, 95, 12)]
+    rows = [(i, around(x)) for i, x in enumerate(parts)] + [(50, around(p))] + [(60 + i, around(x)) for i, x in enumerate(parts)] + [(90, around(copy)), (91, around(parts[0]))]
+    got = G.repeated_passages(docs_of(rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(90, 50)}
+    assert len({x for r in got for x in range(r.start, r.end)} & set(range(40, 140))) >= 90
+    kept = {r.doc_id: r.text for r in G.drop_passages(docs_of(rows)).collect()}
+    assert len(kept[90].split()) <= 90 and all(kept[i] == t for i, t in rows if i != 90)
+
+
+def test_links_of_seeds():
+    rng = np.random.default_rng(9)
+    w = rng.integers(0, 2**63, 200).astype(np.uint64)
+    at, h = G.seeds(w)
+    p, q, one, two, link = G.open_links(w, at.tolist(), [(0, 100)], G.K, G.WINDOW, 20)
+    assert set(zip(p.tolist(), q.tolist())) == {(a, b) for a in at.tolist() for b in at.tolist() if 20 <= b - a <= G.REACH and b + G.K > 100}
+    assert dict(zip(at.tolist(), h.tolist())).items() >= dict(zip(p.tolist(), one.tolist())).items() and (link == G.link_hashes(one, two)).all()
+    assert len(G.turning(np.full(500, 7, np.uint64), G.K, G.WINDOW)[0]) == 2
+    v = np.concatenate([w[:50], np.tile(w[:30], 60), w[50:100]])
+    at = np.arange(50, 50 + 1800, 30)
+    assert 1 < len(G.unlike_places(v, G.K, at, at + 20, np.full(60, 5, np.uint64))) < 15
