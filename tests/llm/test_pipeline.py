@@ -62,3 +62,18 @@ def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_passages_of_any_partner_are_cut_out(spark):
+    """The stage finds a fuzzy copy although other documents hold short parts of it before and between."""
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    around = lambda x: " ".join(words(40) + x + words(40))
+    p = words(100)
+    parts = [p[a : a + 11] for a in range(7, 95, 12)]
+    copy = [f"changed{i}" if i % 12 == 6 else x for i, x in enumerate(p)]
+    rows = [(i, around(x)) for i, x in enumerate(parts)] + [(50, around(p))] + [(60 + i, around(x)) for i, x in enumerate(parts)] + [(90, around(copy))]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id: r for r in corpus_pipeline.passages(spark, docs, "").collect()}
+    assert len(kept[90].text.split()) <= 90 and kept[90].n_chars == len(kept[90].text)
+    assert all(kept[i].text == t for i, t in rows if i != 90)
