@@ -20,7 +20,8 @@ document that has it. Equal runs meet by their hash: no exact copy is lost.
 Passages with changed words have no such runs. For them, each seed that is still not
 covered makes links with the other matched seeds about it, and every document that has
 both seeds of a link, in order, meets the document there, at all places: all partners
-of what is left are chained and aligned, not the first and the last one alone.
+of what is left are chained and aligned, not the first and the last one alone. In the
+other document the two may lie nearer than in this one, or farther.
 
 Hashes that a bounded sample of documents shows to be frequent are salted by
 document while they are gathered, and then matched to the first of all salts: which
@@ -47,14 +48,48 @@ SALTS = 64
 #: Words of the other document around a chain that its alignment may extend over, and words of a block of a document.
 MARGIN, BLOCK = 48, 64
 GAP = 1 / 64
-#: Words between the two seeds of a link, at most; at least as many as between the ends of a chain.
+#: Words between the two seeds of a link, at most, in the document that is matched; at least as many as between the ends of a chain. In the others, that or what differs from it by SHIFT at most: as many unequal words as a passage of 100 words may have.
 REACH = 127
+SHIFT = 20
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+#: The factor of a polynomial's hash, and its inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+BACK = pow(BASE, -1, 1 << 64)
+#: By byte: white space.
+SPACE = np.array([i in b" \t\n\x0b\x0c\r" for i in range(256)])
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE, and of BACK; kept up to four million."""
+    if len(_POWERS[0]) < n:
+        size = max(n, min(2 * n, 1 << 22))
+        new = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (BASE, BACK)]
+        if size > 1 << 22:
+            return new[0][:n], new[1][:n]
+        _POWERS[:] = new
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the ASCII-lower-cased words."""
-    return np.frombuffer(b"".join([xxhash.xxh64_digest(w) for w in text.lower().split()]), dtype=">u8").astype(np.uint64)
+    """64-bit hashes of the ASCII-lower-cased words: differences of a polynomial's prefix sums over all bytes."""
+    x = np.frombuffer(text.lower(), np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[x], [True]])))
+    if not len(edges):
+        return np.empty(0, np.uint64)
+    starts, ends = edges[::2], edges[1::2]
+    power, inverse = powers(len(x) + 1)
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((x + np.uint64(1)) * power[:-1], out=sums[1:])  # + 1: a zero byte counts
+    h = (sums[ends] - sums[starts]) * inverse[starts]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9FB21C651E98DF25)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -366,9 +401,9 @@ def chained(found: DataFrame, k: int, window: int, min_words: int, every: bool =
     return map_arrow(placed, each, "doc long, close boolean, late array<int>, chains array<struct<other:long,at:array<int>,to:array<int>>>")
 
 
-def link_pairs(at: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the pairs of positions (sorted) that lie `near` to REACH words apart."""
-    first, last = np.searchsorted(at, at + near), np.searchsorted(at, at + REACH, side="right")
+def link_pairs(at: np.ndarray, near: int, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs of positions (sorted) that lie `near` to `reach` words apart."""
+    first, last = np.searchsorted(at, at + near), np.searchsorted(at, at + reach, side="right")
     n = np.maximum(last - first, 0)
     i = np.repeat(np.arange(len(at)), n)
     return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
@@ -409,8 +444,8 @@ def unlike_places(words: np.ndarray, k: int, at: np.ndarray, to: np.ndarray, lin
     """Indices of the links at -> to that differ in their hash or in the words up to REACH before and behind them: a text that repeats itself has each once, and its beginning and its end."""
     first, last = np.maximum(at - REACH, 0), np.minimum(to + k + REACH, len(words))
     around = run_hashes(words, first, last - first)
-    shape = ((at - first) << 40) + ((to - at) << 20) + last - at
-    return np.unique(np.stack([link, around, shape.astype(np.uint64)]), axis=1, return_index=True)[1]
+    shape = (((at - first) << 40) + ((to - at) << 20) + last - at).astype(np.uint64)
+    return np.unique(link_hashes(link_hashes(link, around), shape), return_index=True)[1]
 
 
 def text_key(text: bytes) -> int:
@@ -460,9 +495,27 @@ def slices_of(pieces: list[dict]) -> dict[int, list[tuple[int, np.ndarray]]]:
     return out
 
 
+def fewest(rows: list[tuple]) -> list[tuple]:
+    """Of rows (start, end, other, other_start, other_end, equal), as few as cover the same words."""
+    out, end, best = [], -1, None
+    for r in sorted(rows, key=lambda r: (r[0], -r[1], -r[5], r[3])):
+        if best and r[0] > end:
+            out.append(best)
+            end, best = best[1], None
+        if r[0] > end:
+            out.append(r)
+            end = r[1]
+        elif r[1] > (best[1] if best else end):
+            best = r
+    return out + [best] if best else out
+
+
 def passages_of(words: np.ndarray, chains: list[dict], pieces: list[dict], k: int, min_words: int, similarity: float) -> list[tuple]:
-    """(start, end, other, other_start, other_end, equal) of a document's chains that hold out, each once."""
-    out, slices = set(), slices_of(pieces)
+    """(start, end, other, other_start, other_end, equal) of a document's chains that hold out: for each other document, as few as cover the same words.
+
+    Of documents with the same min_words words or more in a passage, only the first is given: the others have a passage there by themselves.
+    """
+    out, slices = {}, slices_of(pieces)
     for number, c in enumerate(chains):
         for lo, other in slices.get(number, ()):
             at, to = np.array(c["at"]), np.array(c["to"]) - lo
@@ -472,18 +525,25 @@ def passages_of(words: np.ndarray, chains: list[dict], pieces: list[dict], k: in
             for first, last in [(0, len(rows) - 1), *segments(rows, similarity)]:
                 a, b, x, y, equal = align(words, other, rows[first : last + 1])
                 if b - a >= min_words and equal >= similarity * max(b - a, y - x):
-                    out.add((a, b, c["other"], x + lo, y + lo, equal))
+                    out.setdefault(c["other"], {})[a, b, c["other"], x + lo, y + lo, equal] = other[x:y].tobytes()
                     if last - first == len(rows) - 1:
                         break  # the whole chain holds out
-    return sorted(out)
+    known, kept = set(), []
+    for other in sorted(out):
+        for r in fewest(list(out[other])):
+            copy = r[0], r[1], out[other][r]
+            if copy not in known:
+                kept.append(r)
+            if r[4] - r[3] >= min_words:
+                known.add(copy)
+    return kept
 
 
 def run_hashes(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """64-bit hashes of the n words from each position: differences of a polynomial's prefix sums."""
-    base, back = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
     with np.errstate(over="ignore"):
-        powers, inverse = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(words), x, np.uint64)])) for x in (base, back))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(words * powers[:-1])])
+        power, inverse = powers(len(words) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(words * power[:-1])])
         h = (sums[at + n] - sums[at]) * inverse[at]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
@@ -542,18 +602,20 @@ def covering(spans: DataFrame) -> DataFrame:
 
 
 def having(found: DataFrame, hashes: DataFrame) -> DataFrame:
-    """(doc, hashes): the documents that have some of the hashes (checkpointed), by all matches of seeds; marked for broadcast if small."""
-    pairs = cut(found.select("doc", "other", "hash").join(small(hashes, 16), "hash").select(F.explode(F.array("doc", "other")).alias("doc"), "hash").distinct())
+    """(doc, hashes): the documents that have two of the hashes (hash, alone; checkpointed), or one that is to be met alone, by all matches of seeds; marked for broadcast if small."""
+    met = found.select("doc", "other", "hash").join(small(hashes, 17), "hash").select(F.explode(F.array("doc", "other")).alias("doc"), "hash", "alone").distinct()
+    pairs = cut(met.groupBy("doc").agg(F.collect_list("hash").alias("hashes"), F.max("alone").alias("alone")).where((F.size("hashes") > 1) | F.col("alone")).select("doc", F.explode("hashes").alias("hash")))
     held = pairs.groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
     return F.broadcast(held) if small(pairs, 40) is not pairs else held
 
 
 def all_partners(links: DataFrame, found: DataFrame, docs: DataFrame, k: int, window: int, near: int) -> DataFrame:
-    """(doc, pos, other, to): both seeds of each link (doc, pos, next, seed, following, link), wherever a document with a smaller id has both in order, at each place that differs in the words about it.
+    """(doc, pos, other, to): both seeds of each link (doc, pos, next, seed, following, link), wherever a document with a smaller id has both in order, as far apart as a link may be or nearly as far as this one, at each place that differs in the words about it.
 
     found: all matches of seeds.
     """
-    hashes = cut(links.select(F.explode(F.array("seed", "following")).alias("hash")).distinct())
+    # a link of a seed with itself needs no other one
+    hashes = cut(links.select(F.explode(F.array("seed", "following")).alias("hash"), (F.col("seed") == F.col("following")).alias("alone")).groupBy("hash").agg(F.max("alone").alias("alone")))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", 4 << 20):
@@ -562,7 +624,7 @@ def all_partners(links: DataFrame, found: DataFrame, docs: DataFrame, k: int, wi
                 at, h = turning(words, k, window)
                 known = np.isin(h, np.array(wanted, np.int64).view(np.uint64))
                 at, h = at[known], h[known]
-                i, j = link_pairs(at, near)
+                i, j = link_pairs(at, max(1, near - SHIFT), REACH + SHIFT)
                 if len(i):
                     link = link_hashes(h[i], h[j])
                     kept = unlike_places(words, k, at[i], at[j], link)
@@ -572,7 +634,8 @@ def all_partners(links: DataFrame, found: DataFrame, docs: DataFrame, k: int, wi
     asked = cut(links.groupBy("link").agg(F.max("doc").alias("last")))
     held = map_arrow(docs.join(having(found, hashes), "doc").select("doc", "text", "hashes"), each, "link long, other long, to int, to_next int")
     partners = held.join(small(asked, 16), "link").where("other < last").drop("last").distinct()
-    met = links.select("doc", "pos", "next", "link").join(partners, "link").where("other < doc")
+    fits = f"to_next - to between {near} and {REACH} or abs(to_next - to - next + pos) <= {SHIFT}"
+    met = links.select("doc", "pos", "next", "link").join(partners, "link").where("other < doc").where(fits)
     return met.select("doc", "other", F.explode(F.array(F.struct("pos", "to"), F.struct(F.col("next").alias("pos"), F.col("to_next").alias("to")))).alias("x")).select("doc", "x.pos", "other", "x.to").distinct()
 
 
@@ -581,7 +644,7 @@ def exact_runs(open_: DataFrame, found: DataFrame, docs: DataFrame, k: int, n: i
 
     found: all matches of seeds. The documents that have a run's least seed hash their runs about it; only the first holder of each is kept.
     """
-    least = cut(open_.select(F.col("least").alias("hash")).distinct())
+    least = cut(open_.select(F.col("least").alias("hash"), F.lit(True).alias("alone")).distinct())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", 4 << 20):
@@ -646,7 +709,8 @@ def passage_rows(docs: DataFrame, min_words: int, similarity: float, k: int, win
     docs = identified(docs)
     found, path = matches(docs, k, window)
     near = least_span(k, min_words) - k
-    rows, rest = written(verified(docs, cut(chained(found, k, window, min_words)), k, window, min_words, similarity, near), "passages")
+    chains = cut(chained(found, k, window, min_words))
+    rows, rest = written(verified(docs, chains, k, window, min_words, similarity, near), "passages")
     aligned = rows.where("run is null").select(*COLUMNS)
     left = rows.where("run is not null and link is null").select(F.col("doc_id").alias("doc"), "key", "start", "run", "least")
     links = rows.where("link is not null").select(F.col("doc_id").alias("doc"), "key", F.col("start").cast("int").alias("pos"), F.col("end").cast("int").alias("next"), F.col("run").alias("seed"), F.col("least").alias("following"), "link")
@@ -670,7 +734,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     """One row for each passage of a document that a document with a smaller doc_id holds as well.
 
     Columns: doc_id, start and end (word positions; words are what ASCII white space parts, A-Z as a-z), other_id, other_start, other_end, n_words, n_equal.
-    A passage has at least min_words words, at least `similarity` of them in common. Every word of a run of min_words
+    Each earlier document a text is compared with has as few passages as cover the same words; of those whose words in a passage are the same, min_words
+    or more, only the first is given. A passage has at least min_words words, at least `similarity` of them in common. Every word of a run of min_words
     words that an earlier document holds as it is lies in a passage; of those with differing words, the ones that
     share seeds in order with any earlier document, min_words / 2 to REACH words apart, and whose seeds no other passage covers. Null and empty texts have none; rows of one doc_id aren't
     compared with each other, and rows without one take no part; repeated rows give each passage once; other columns are

@@ -264,3 +264,52 @@ def test_links_of_seeds():
     v = np.concatenate([w[:50], np.tile(w[:30], 60), w[50:100]])
     at = np.arange(50, 50 + 1800, 30)
     assert 1 < len(G.unlike_places(v, G.K, at, at + 20, np.full(60, 5, np.uint64))) < 15
+
+
+def unseeded_ends(seed):
+    """Two texts of a fuzzy passage: in common are two runs of 12 words, side by side in the first and eight words apart in the second, and about them runs of five words none of which has a seed; and the two runs."""
+    rng = random.Random(seed)
+    while True:
+        one, two, left, right = words(rng, 12), words(rng, 12), words(rng, 42), words(rng, 42)
+        other = lambda x: [f"x{rng.randrange(10**9)}" if i % 6 == 5 else w for i, w in enumerate(x)]
+        a, b = left + one + two + right, other(left) + one + words(rng, 8) + two + other(right)
+        (p, h), (q, g) = (G.seeds(G.word_hashes(" ".join(x).encode())) for x in (a, b))
+        at, to = p[np.isin(h, g)], q[np.isin(g, h)]
+        if 42 <= at[0] and at[-1] <= 61 and at[-1] - at[0] < 20 <= to[-1] - to[0]:
+            return a, b, one, two
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_partners_whose_seeds_lie_nearer(spark, docs_of, seed):
+    """What the first step finds in a pair alone, the third one finds among documents that hold parts of it, though the words between the seeds are fewer there."""
+    a, b, one, two = unseeded_ends(seed)
+    rng = random.Random(seed + 100)
+    around = lambda x: " ".join(words(rng, 40) + x + words(rng, 40))
+    pair = [(50, around(a)), (90, around(b))]
+    parts = [(i, around(x)) for i, x in ((1, one), (2, two), (60, one), (61, two))]
+    for rows in (pair, pair + parts):
+        got = G.repeated_passages(docs_of(rows)).collect()
+        assert {(r.doc_id, r.other_id) for r in got} == {(90, 50)}
+        assert len({x for r in got for x in range(r.start, r.end)} & set(range(40, 40 + len(b)))) >= 0.9 * len(b)
+
+
+def test_fewest_rows_cover_the_same_words():
+    rng = random.Random(6)
+    for _ in range(300):
+        rows = [(a, a + rng.randrange(1, 30), 1, rng.randrange(9), 0, 5) for a in rng.choices(range(100), k=rng.randrange(1, 25))]
+        got = G.fewest(rows)
+        cover = lambda rs: {x for r in rs for x in range(r[0], r[1])}
+        assert cover(got) == cover(rows) and set(got) <= set(rows)
+        assert all(cover(got[:i] + got[i + 1 :]) != cover(got) for i in range(len(got)))
+
+
+def test_others_with_equal_words_are_given_once():
+    """A passage is given with the first of several equal texts, and with each one that differs."""
+    doc = np.arange(1, 61, dtype=np.uint32)
+    unlike = np.where(np.arange(60) == 30, 999, doc).astype(np.uint32)
+    chains = [{"other": i, "at": [0, 20, 50], "to": [0, 20, 50]} for i in (7, 5, 6, 8)]
+    texts = {5: doc, 6: doc, 7: doc, 8: unlike}
+    pieces = [{"chain": n, "key": c["other"], "block": 0, "words": texts[c["other"]].tobytes()} for n, c in enumerate(chains)]
+    assert G.passages_of(doc, chains, pieces, G.K, 50, 0.8) == [(0, 60, 5, 0, 60, 60), (0, 60, 8, 0, 60, 59)]
+    short = [{**c, "at": [0, 20], "to": [0, 20]} for c in chains]
+    assert [r[2] for r in G.passages_of(doc[:40], short, [{**x, "words": x["words"][:160]} for x in pieces], G.K, 40, 0.8)] == [5, 8]
