@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, chunks, cut, map_arrow, remove, skew_join, small, written
+from .common import bytes_of, chunks, cut, map_arrow, remove, skew_join, small, tidy, written
 
 K, WINDOW = 5, 8
 #: Documents in the sample that tells frequent seeds, in how many of them one is frequent, and how many are salted at most, the most frequent first (the others are right without).
@@ -480,6 +480,8 @@ def with_blocks(chains: DataFrame, docs: DataFrame) -> DataFrame:
 
     texts = docs.join(wanted, docs["doc"] == wanted["other"]).select("other", "text", "blocks")
     blocks = cut(map_arrow(texts, each, "other long, block int, asked long, key long, words binary"))
+    del texts, wanted
+    tidy(docs.sparkSession)
     return skew_join(asked, blocks, ["other", "block"], "asked").groupBy("doc").agg(F.collect_list(F.struct("chain", "key", "block", "words")).alias("pieces"))
 
 
@@ -709,8 +711,12 @@ def passage_rows(docs: DataFrame, min_words: int, similarity: float, k: int, win
     docs = identified(docs)
     found, path = matches(docs, k, window)
     near = least_span(k, min_words) - k
+    tidy(docs.sparkSession)
     chains = cut(chained(found, k, window, min_words))
+    tidy(docs.sparkSession)
     rows, rest = written(verified(docs, chains, k, window, min_words, similarity, near), "passages")
+    del chains
+    tidy(docs.sparkSession)
     aligned = rows.where("run is null").select(*COLUMNS)
     left = rows.where("run is not null and link is null").select(F.col("doc_id").alias("doc"), "key", "start", "run", "least")
     links = rows.where("link is not null").select(F.col("doc_id").alias("doc"), "key", F.col("start").cast("int").alias("pos"), F.col("end").cast("int").alias("next"), F.col("run").alias("seed"), F.col("least").alias("following"), "link")
@@ -721,8 +727,10 @@ def passage_rows(docs: DataFrame, min_words: int, similarity: float, k: int, win
         over = lambda at: F.exists("spans", lambda x: (x["start"] <= at) & (x["end"] >= at + k))
         links = links.join(spans, ["doc", "key"], "left").where(F.col("spans").isNull() | ~(over(F.col("pos")) & over(F.col("next")))).drop("spans")
     links = cut(links.drop("key"))
+    tidy(docs.sparkSession)
     if not links.isEmpty():
         chains = cut(chained(all_partners(links, found, docs, k, window, near), k, window, min_words, every=True))
+        tidy(docs.sparkSession)
         aligned = aligned.unionByName(verified(docs, chains.withColumn("late", F.lit(None).cast("array<int>")), k, window, min_words, similarity, near).select(*COLUMNS))
     passages = cut(aligned.distinct())
     for x in (path, rest):
