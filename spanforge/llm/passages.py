@@ -31,7 +31,8 @@ ones are salted changes no match to a first holder.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +58,8 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: The factor of a polynomial's hash, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
-#: By byte: white space.
-SPACE = np.array([i in b" \t\n\x0b\x0c\r" for i in range(256)])
+#: By byte: 1 for white space, else 0.
+SPACE = bytes(i in b" \t\n\x0b\x0c\r" for i in range(256))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -76,7 +77,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of the ASCII-lower-cased words: differences of a polynomial's prefix sums over all bytes."""
     x = np.frombuffer(text.lower(), np.uint8)
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[x], [True]])))
+    space = np.frombuffer(b"\1" + text.translate(SPACE) + b"\1", np.bool_)
+    edges = np.flatnonzero(space[1:] != space[:-1])
     if not len(edges):
         return np.empty(0, np.uint64)
     starts, ends = edges[::2], edges[1::2]
@@ -141,12 +143,17 @@ def chain(pos: np.ndarray, other: np.ndarray, gap: float = GAP) -> list[np.ndarr
     steps = np.diff(pos)
     if (np.diff(other) == steps).all() and (steps > 0).all() and (2 * gap * steps < 1).all():
         return [np.arange(n)]  # one diagonal without wide gaps
-    rank = np.searchsorted(np.unique(other), other)
-    size = int(rank.max()) + 1
+    return [np.array(links) for links in collinear(pos.tolist(), other.tolist(), gap)]
+
+
+def collinear(ps: list[int], os: list[int], gap: float = GAP) -> list[list[int]]:
+    """The chains, of any matches; see chain."""
+    n = len(ps)
+    ranks = {x: i for i, x in enumerate(sorted(set(os)))}
+    rs, size = [ranks[x] for x in os], len(ranks)
     tree, owner = [-1e18] * (size + 1), [-1] * (size + 1)
     score, before = [0.0] * n, [-1] * n
     i = 0
-    ps, os, rs = pos.tolist(), other.tolist(), rank.tolist()
     while i < n:
         same = i
         while same < n and ps[same] == ps[i]:
@@ -174,35 +181,37 @@ def chain(pos: np.ndarray, other: np.ndarray, gap: float = GAP) -> list[np.ndarr
             links.append(m)
             m = before[m]
         if links:
-            out.append(np.array(links[::-1]))
+            out.append(links[::-1])
     return out
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
-    """Words in common in order (longest common subsequence): row by row, each row one running maximum."""
-    if len(a) > len(b):
-        a, b = b, a
-    row = np.zeros(len(b) + 1, np.int32)
-    for w in a:
-        step = row.copy()
-        step[1:] = np.maximum(step[1:], row[:-1] + (b == w))
-        row = np.maximum.accumulate(step)
-    return int(row[-1])
+    """Words in common in order (longest common subsequence): the rows of its table as differences, one bit for each word of a."""
+    at: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        at[x] = at.get(x, 0) | 1 << i
+    rest = full = (1 << len(a)) - 1
+    for y in b.tolist():
+        if y in at:
+            met = rest & at[y]
+            rest = (rest + met | rest - met) & full
+    return len(a) - rest.bit_count()
 
 
 def extend(a: np.ndarray, b: np.ndarray, drop: int = 12) -> tuple[int, int]:
     """(length, equal words) by which two sequences go on alike from their beginning: +1 for an equal word, -2 for another, until the sum falls `drop` below its best."""
     n = min(len(a), len(b))
-    if not n:
-        return 0, 0
-    same = a[:n] == b[:n]
-    total = np.cumsum(np.where(same, 1, -2))
-    fallen = np.flatnonzero(np.maximum.accumulate(np.maximum(total, 0)) - total >= drop)
-    end = int(fallen[0]) if len(fallen) else n
-    if not end:
-        return 0, 0
-    best = int(total[:end].argmax())
-    return (best + 1, int(same[: best + 1].sum())) if total[best] > 0 else (0, 0)
+    total = best = length = equal = same = 0
+    for i, x in enumerate((a[:n] == b[:n]).tolist(), 1):
+        if x:
+            total, same = total + 1, same + 1
+            if total > best:
+                best, length, equal = total, i, same
+        else:
+            total -= 2
+            if best - total >= drop:
+                break
+    return length, equal
 
 
 def blocks(doc: np.ndarray, other: np.ndarray, at: np.ndarray, to: np.ndarray, k: int = K) -> np.ndarray:
@@ -314,31 +323,42 @@ def holders(rows: DataFrame) -> DataFrame:
     return map_arrow(placed, each, "doc long, pos int, other long, to int, hash long")
 
 
-def matches(docs: DataFrame, k: int, window: int) -> tuple[DataFrame, str]:
-    """(doc, pos, other, to, hash): seeds of each document, and where documents with smaller ids have them; and the path of the table behind it."""
+def matches(docs: DataFrame, k: int, window: int) -> tuple[DataFrame, DataFrame, str]:
+    """(doc, pos, other, to, hash): seeds of each document, and where documents with smaller ids have them; the table behind it, see holders; and that table's path."""
     few = docs.select("doc").orderBy(F.xxhash64("doc"), "doc").limit(SAMPLE).distinct()
     sampled = seed_rows(docs.join(F.broadcast(few), "doc"), k, window, np.empty(0, np.int64))
     often = sampled.groupBy("hash").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "hash").limit(SALTED).select("hash").collect()
     found, path = written(holders(seed_rows(docs, k, window, np.array(sorted(r.hash for r in often), dtype=np.int64))), "seeds")
     if not often:
-        return found, path
+        return found, found, path
     salted = found.where("other is null").select("hash", "doc", "pos")
     first = salted.groupBy("hash").agg(F.min(F.struct("doc", "pos")).alias("f")).select("hash", F.col("f.doc").alias("other"), F.col("f.pos").alias("to"))
     # at most SALTED hashes
     second = salted.join(F.broadcast(first), "hash").where("doc <> other").select("doc", "pos", "other", "to", "hash")
-    return found.where("other is not null").unionByName(second), path
+    return found.where("other is not null").unionByName(second), found, path
 
 
 def document_chains(p: np.ndarray, o: np.ndarray, t: np.ndarray, k: int, least: int, every: bool = False) -> list[tuple]:
     """(other, at, to): the chains of a document's matches (sorted by other, pos, to) that span `least` words; unless every, without those that repeat a part of a longer one at the same distances."""
     found = []
-    starts = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-    for i, j in zip(starts, [*starts[1:], len(o)]):
-        if j - i > 1:
-            for links in chain(p[i:j].astype(np.int64), t[i:j].astype(np.int64)):
-                if len(links) > 1 and p[i + links[-1]] - p[i + links[0]] + k >= least:
-                    found.append((int(o[i]), p[i:j][links], t[i:j][links]))
-    if every:
+    ends = np.flatnonzero(np.concatenate([o[1:] != o[:-1], [True]])) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    step, far = np.diff(p), np.diff(t)
+    bent = np.concatenate([[0], np.cumsum((far != step) | (step <= 0) | (2 * GAP * step >= 1))])
+    whole = bent[ends - 1] == bent[starts]  # one diagonal without wide gaps
+    if len(step):
+        first = np.minimum(starts, len(step) - 1)
+        whole |= (ends - starts == 2) & (step[first] > 0) & (far[first] > 0) & (GAP * (step[first] + far[first]) < 1)
+    wide = (ends - starts > 1) & (p[ends - 1] - p[starts] + k >= least) & (whole | (ends - starts > 2))
+    for i, j, one in zip(starts[wide].tolist(), ends[wide].tolist(), whole[wide].tolist()):
+        if one:
+            found.append((int(o[i]), p[i:j], t[i:j]))
+            continue
+        places = p[i:j].tolist()
+        for links in collinear(places, t[i:j].tolist()):
+            if len(links) > 1 and places[links[-1]] - places[links[0]] + k >= least:
+                found.append((int(o[i]), p[i:j][links], t[i:j][links]))
+    if every or len(found) < 2:
         return found
     kept, by_place = [], {}
     for other, at, to in sorted(found, key=lambda c: (-len(c[1]), c[0], c[1][0], c[2][0])):
@@ -357,27 +377,65 @@ def least_span(k: int, min_words: int) -> int:
     return max(k, min_words // 2)
 
 
+def block_range(first: np.ndarray, last: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last block of the other document about chains whose seeds begin at first to last there."""
+    return np.maximum(0, first - MARGIN) // BLOCK, (last + k + MARGIN) // BLOCK
+
+
+def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each range, and what is in it, last not included: (0, 3), (7, 9) give 0 0 0 1 1 and 0 1 2 7 8."""
+    n = last - first
+    at = np.repeat(np.arange(len(n)), n)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(n) - n - first, n)
+
+
+def unlike_rows(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """The columns of a table with its rows sorted and each once."""
+    order = np.lexsort(cols[::-1])
+    cols = [c[order] for c in cols]
+    new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)])
+    return [c[new] for c in cols]
+
+
 def chained(found: DataFrame, k: int, window: int, min_words: int, every: bool = False) -> DataFrame:
-    """(doc, close, late, chains) of the documents that may hold a passage: chains of at least two seeds (other, at, to), whether the matched seeds lie close enough for a run of min_words words, and the positions of all of them if so or if they make a link."""
+    """(doc, close, late, chains, asked) of the documents that may hold a passage: chains of at least two seeds (other, at, to), whether the matched seeds lie close enough for a run of min_words words, the positions of all of them if so or if they make a link, and the blocks of other documents about the chains (other, block), each once.
+
+    every: all chains are given, and late isn't.
+    """
     least, span = least_span(k, min_words), min_words - k + 1 - 2 * window + 1
-    kind = pa.list_(pa.struct([("other", pa.int64()), ("at", pa.list_(pa.int32())), ("to", pa.list_(pa.int32()))]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = None, []
 
+        def lists(values: list[np.ndarray]) -> pa.ListArray:
+            ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*values, np.empty(0, np.int32)]).astype(np.int32)))
+
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.bool_(), pa.list_(pa.int32()), kind))], names=["doc", "close", "late", "chains"])
+            doc, close, late, own = zip(*rows)
+            chains = [c for x in own for c in x]
+            ends = np.cumsum([0, *map(len, own)])
+            other = np.array([c[0] for c in chains], np.int64)
+            n, block = ranges(*(x + i for i, x in enumerate(block_range(*(np.array([c[2][i] for c in chains], np.int64) for i in (0, -1)), k))))
+            asked = unlike_rows([np.repeat(np.arange(len(own)), np.diff(ends))[n], other[n], block]) if len(n) else [np.empty(0, np.int64)] * 3
+            given = pa.StructArray.from_arrays([pa.array(other), lists([c[1] for c in chains]), lists([c[2] for c in chains])], ["other", "at", "to"])
+            blocks = pa.StructArray.from_arrays([pa.array(asked[1]), pa.array(asked[2].astype(np.int32))], ["other", "block"])
             rows.clear()
-            return out
+            return pa.RecordBatch.from_arrays(
+                [pa.array(doc, pa.int64()), pa.array(close, pa.bool_()), pa.array(late, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), given), pa.ListArray.from_arrays(pa.array(np.searchsorted(asked[0], np.arange(len(own) + 1)).astype(np.int32)), blocks)],
+                names=["doc", "close", "late", "chains", "asked"],
+            )
 
         def document(d: np.ndarray, o: np.ndarray, p: np.ndarray, t: np.ndarray) -> None:
-            late = np.unique(p)
-            ends = np.flatnonzero(np.concatenate([np.diff(late) > window, [True]]))
-            close = bool((late[ends] - late[np.concatenate([[0], ends[:-1] + 1])] >= span).any())
+            late, close, linked = None, False, False
+            if not every:
+                late = np.unique(p)
+                ends = np.flatnonzero(np.concatenate([np.diff(late) > window, [True]]))
+                close = bool((late[ends] - late[np.concatenate([[0], ends[:-1] + 1])] >= span).any())
+                linked = close or bool(len(link_pairs(late, least - k)[0]))
             chains = document_chains(p, o, t, k, least, every)
-            linked = close or bool(len(link_pairs(late, least - k)[0]))
             if linked or chains:
-                rows.append((int(d[0]), close, late if linked else None, [{"other": c[0], "at": c[1], "to": c[2]} for c in chains]))
+                rows.append((int(d[0]), close, late if linked else None, chains))
 
         for b in batches:
             if not b.num_rows:
@@ -398,7 +456,7 @@ def chained(found: DataFrame, k: int, window: int, min_words: int, every: bool =
 
     # a document's matches are at most two for each of its seeds
     placed = found.select("doc", "other", "pos", "to").repartition("doc").sortWithinPartitions("doc", "other", "pos", "to")
-    return map_arrow(placed, each, "doc long, close boolean, late array<int>, chains array<struct<other:long,at:array<int>,to:array<int>>>")
+    return map_arrow(placed, each, "doc long, close boolean, late array<int>, chains array<struct<other:long,at:array<int>,to:array<int>>>, asked array<struct<other:long,block:int>>")
 
 
 def link_pairs(at: np.ndarray, near: int, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
@@ -454,15 +512,11 @@ def text_key(text: bytes) -> int:
 
 
 def with_blocks(chains: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc, pieces): for the chains (checkpointed) of each document, the blocks of the other documents around them: chain, key of the other's text, number, and 32-bit word hashes.
+    """(doc, pieces): for the chains (checkpointed) of each document, the blocks of the other documents around them: id and key of the other's text, number, and 32-bit word hashes; one that several chains ask for is given once.
 
     Texts meet the numbers of their blocks that are asked for, so that each moves once; a block has a fixed size, and those that many ask for are broadcast.
     """
-    to = F.col("c.to")
-    asked = (
-        chains.select("doc", F.posexplode("chains").alias("chain", "c"))
-        .select("doc", "chain", F.col("c.other").alias("other"), F.explode(F.sequence(F.floor(F.greatest(F.lit(0), to[0] - MARGIN) / BLOCK).cast("int"), F.floor((F.element_at(to, -1) + K + MARGIN) / BLOCK).cast("int"))).alias("block"))
-    )
+    asked = chains.select("doc", F.explode("asked").alias("a")).select("doc", "a.other", "a.block")
     wanted = asked.groupBy("other", "block").agg(F.count("*").alias("asked")).groupBy("other").agg(F.sort_array(F.collect_list(F.struct("block", "asked"))).alias("blocks"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,7 +536,7 @@ def with_blocks(chains: DataFrame, docs: DataFrame) -> DataFrame:
     blocks = cut(map_arrow(texts, each, "other long, block int, asked long, key long, words binary"))
     del texts, wanted
     tidy(docs.sparkSession)
-    return skew_join(asked, blocks, ["other", "block"], "asked").groupBy("doc").agg(F.collect_list(F.struct("chain", "key", "block", "words")).alias("pieces"))
+    return skew_join(asked, blocks, ["other", "block"], "asked").groupBy("doc").agg(F.collect_list(F.struct("other", "key", "block", "words")).alias("pieces"))
 
 
 def slices_of(pieces: list[dict]) -> dict[int, list[tuple[int, np.ndarray]]]:
@@ -512,24 +566,112 @@ def fewest(rows: list[tuple]) -> list[tuple]:
     return out + [best] if best else out
 
 
+#: For chains on several diagonals.
+BENT = np.iinfo(np.int64).min
+
+
+def hopeful(words: np.ndarray, others: np.ndarray, first: np.ndarray, last: np.ndarray, start: np.ndarray, end: np.ndarray, zero: np.ndarray, min_words: int, similarity: float) -> np.ndarray:
+    """For each i, whether words[start:end] has min_words words or more in a row of which `similarity` are anywhere in others[first:last]; or, where zero isn't BENT, are equal to those from others[zero + start] on. No passage is where they aren't."""
+    known, rank = np.unique(words, return_inverse=True)
+    place = np.searchsorted(known, others)
+    place[known[np.minimum(place, len(known) - 1)] != others] = len(known)
+    part = np.cumsum(np.maximum(len(known) + 1, last - first + end - start)) >> 19
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+    out = np.zeros(len(first), bool)
+    for i, j in zip(edges[:-1], edges[1:]):
+        row, at = ranges(first[i:j], last[i:j])
+        met = np.zeros((j - i, len(known) + 1), bool)
+        met[row, place[at]] = True
+        met[:, -1] = False
+        row, at = ranges(start[i:j], end[i:j])
+        long = end[i:j] - start[i:j]
+        heads = np.cumsum(long + 1) - long - 1
+        gain = np.full(len(row) + j - i, -2.0 * long.max() - 1)  # at the heads: no sum goes over from one to the next
+        same = met[row, rank[at]]
+        straight = np.flatnonzero((zero[i:j] != BENT)[row])
+        same[straight] = words[at[straight]] == others[at[straight] + zero[i:j][row[straight]]]
+        gain[np.arange(len(row)) + row + 1] = same - similarity
+        total = np.cumsum(gain)
+        fits = np.zeros(len(total), bool)
+        fits[min_words:] = total[min_words:] - np.minimum.accumulate(total)[: max(0, len(total) - min_words)] > -1e-3
+        out[i:j] = np.logical_or.reduceat(fits, heads)
+    return out
+
+
+def tries_of(words: np.ndarray, owners: np.ndarray, ends: np.ndarray, at: np.ndarray, to: np.ndarray, pieces: tuple, k: int, min_words: int, similarity: float) -> Iterator[tuple]:
+    """(other, at, to, position of the other's first word, its word hashes) of a document's chains that may hold a passage; to counts from that position.
+
+    owners: the others; ends: where each chain ends in at and to, after a 0; pieces: (other, key, block) and word hashes of each.
+    """
+    (other, key, block), held = pieces
+    order = np.lexsort((block, key, other))
+    order = order[np.concatenate([[True], np.any([c[order][1:] != c[order][:-1] for c in (other, key, block)], axis=0)])]  # repeated rows give equal blocks
+    other, key, block = other[order], key[order], block[order]
+    parts = [held(i) for i in order.tolist()]
+    offset = np.cumsum([0, *map(len, parts)])
+    low, high = block_range(to[ends[:-1]].astype(np.int64), to[ends[1:] - 1].astype(np.int64), k)
+    texts: dict[int, list] = {}
+    begins = np.flatnonzero(np.concatenate([[True], (other[1:] != other[:-1]) | (key[1:] != key[:-1])])).tolist()
+    for i, j in zip(begins, [*begins[1:], len(other)]):
+        texts.setdefault(int(other[i]), []).append((i, j))
+    numbers, blocks_ = block.tolist(), []
+    for n, (who, lo, hi) in enumerate(zip(owners.tolist(), low.tolist(), high.tolist())):
+        for i, j in texts.get(who, ()):
+            x, y = bisect_left(numbers, lo, i, j), bisect_right(numbers, hi, i, j)
+            if x < y:
+                blocks_.append((n, numbers[x] * BLOCK, x, y))
+    if not blocks_:
+        return
+    n, lo, x, y = np.array(blocks_).T
+    first, last = offset[x], offset[y]
+    # chains of another row with the same id reach beyond its end
+    fits = (at[ends[1:] - 1][n] + k <= len(words)) & (to[ends[1:] - 1][n] - lo + k <= last - first)
+    n, lo, first, last = n[fits], lo[fits], first[fits], last[fits]
+    far = at.astype(np.int64) - to
+    near, wide = (x.reduceat(far, ends[:-1])[n] for x in (np.minimum, np.maximum))
+    start, end = np.maximum(0, near + lo), np.minimum(len(words), wide + lo + last - first)
+    others = np.concatenate(parts)
+    zero = np.where(wide > near, BENT, first - near - lo)
+    some = hopeful(words, others, first, last, start, end, zero, min_words, similarity) if (wide > near).any() else np.ones(len(n), bool)
+    for i, b, p, q in zip(n[some].tolist(), lo[some].tolist(), first[some].tolist(), last[some].tolist()):
+        yield int(owners[i]), at[ends[i] : ends[i + 1]], to[ends[i] : ends[i + 1]] - b, b, others[p:q]
+
+
 def passages_of(words: np.ndarray, chains: list[dict], pieces: list[dict], k: int, min_words: int, similarity: float) -> list[tuple]:
-    """(start, end, other, other_start, other_end, equal) of a document's chains that hold out: for each other document, as few as cover the same words.
+    """best_passages of chains and of the blocks of each (chain, key, block, words)."""
+    slices = slices_of(pieces)
+    return best_passages(words, ((c["other"], np.array(c["at"]), np.array(c["to"]) - lo, lo, other) for n, c in enumerate(chains) for lo, other in slices.get(n, ())), k, min_words, similarity)
+
+
+def best_passages(words: np.ndarray, tries: Iterable[tuple], k: int, min_words: int, similarity: float) -> list[tuple]:
+    """(start, end, other, other_start, other_end, equal) of a document's chains (see tries_of) that hold out: for each other document, as few as cover the same words.
 
     Of documents with the same min_words words or more in a passage, only the first is given: the others have a passage there by themselves.
     """
-    out, slices = {}, slices_of(pieces)
-    for number, c in enumerate(chains):
-        for lo, other in slices.get(number, ()):
-            at, to = np.array(c["at"]), np.array(c["to"]) - lo
-            if at[-1] + k > len(words) or to[-1] + k > len(other):
-                continue  # of another row with the same id
+    out: dict[int, dict] = {}
+
+    def holds(who: int, lo: int, other: np.ndarray, rows: np.ndarray) -> bool:
+        a, b, x, y, equal = align(words, other, rows)
+        if b - a < min_words or equal < similarity * max(b - a, y - x):
+            return False
+        out.setdefault(who, {})[a, b, who, x + lo, y + lo, equal] = other[x:y].tobytes()
+        return True
+
+    for who, at, to, lo, other in tries:
+        if at[-1] + k > len(words) or to[-1] + k > len(other):
+            continue  # of another row with the same id
+        if (to - at == to[0] - at[0]).all():  # on one diagonal the whole chain is one block
+            a, b, x, y = int(at[0]), int(at[-1]) + k, int(to[0]), int(to[-1]) + k
+            if holds(who, lo, other, np.array([[a, b, x, y, int((words[a:b] == other[x:y]).sum()), 0]])):
+                continue
             rows = blocks(words, other, at, to, k)
-            for first, last in [(0, len(rows) - 1), *segments(rows, similarity)]:
-                a, b, x, y, equal = align(words, other, rows[first : last + 1])
-                if b - a >= min_words and equal >= similarity * max(b - a, y - x):
-                    out.setdefault(c["other"], {})[a, b, c["other"], x + lo, y + lo, equal] = other[x:y].tobytes()
-                    if last - first == len(rows) - 1:
-                        break  # the whole chain holds out
+        else:
+            rows = blocks(words, other, at, to, k)
+            if holds(who, lo, other, rows):
+                continue
+        for first, last in segments(rows, similarity):
+            if holds(who, lo, other, rows[first : last + 1]) and last - first == len(rows) - 1:
+                break  # the whole chain
     known, kept = set(), []
     for other in sorted(out):
         for r in fewest(list(out[other])):
@@ -558,7 +700,8 @@ def open_runs(words: np.ndarray, late: list[int], spans: list[tuple[int, int]],
     h = kmers(words, k)
     inner = n - k + 1 - window + 1
     none = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    late = np.array([x for x in late if x < len(h)], dtype=np.int64)
+    late = np.asarray(late, np.int64)
+    late = late[late < len(h)]
     if len(words) < n or not len(late):
         return none
     masked = np.full(len(h), np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -603,24 +746,23 @@ def covering(spans: DataFrame) -> DataFrame:
     return map_arrow(placed, each, "doc long, key long, start long, end long, other_id long, far long")
 
 
-def having(found: DataFrame, hashes: DataFrame) -> DataFrame:
-    """(doc, hashes): the documents that have two of the hashes (hash, alone; checkpointed), or one that is to be met alone, by all matches of seeds; marked for broadcast if small."""
-    met = found.select("doc", "other", "hash").join(small(hashes, 17), "hash").select(F.explode(F.array("doc", "other")).alias("doc"), "hash", "alone").distinct()
-    pairs = cut(met.groupBy("doc").agg(F.collect_list("hash").alias("hashes"), F.max("alone").alias("alone")).where((F.size("hashes") > 1) | F.col("alone")).select("doc", F.explode("hashes").alias("hash")))
-    held = pairs.groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
-    return F.broadcast(held) if small(pairs, 40) is not pairs else held
+def having(seeded: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(doc, hash): the documents that have two of the hashes (hash, alone; checkpointed), or one that is to be met alone, by the table of matches: each occurrence of a salted seed is a row in it."""
+    met = seeded.select("doc", "other", "hash").join(small(hashes, 17), "hash").select(F.explode(F.array("doc", "other")).alias("doc"), "hash", "alone").where("doc is not null").distinct()
+    return cut(met.groupBy("doc").agg(F.collect_list("hash").alias("hashes"), F.max("alone").alias("alone")).where((F.size("hashes") > 1) | F.col("alone")).select("doc", F.explode("hashes").alias("hash")))
 
 
-def all_partners(links: DataFrame, found: DataFrame, docs: DataFrame, k: int, window: int, near: int) -> DataFrame:
+def all_partners(links: DataFrame, seeded: DataFrame, docs: DataFrame, k: int, window: int, near: int) -> DataFrame:
     """(doc, pos, other, to): both seeds of each link (doc, pos, next, seed, following, link), wherever a document with a smaller id has both in order, as far apart as a link may be or nearly as far as this one, at each place that differs in the words about it.
 
-    found: all matches of seeds.
+    seeded: the table of matches. Texts are shuffled here whatever the size, so that what is measured on small inputs holds for larger ones.
     """
     # a link of a seed with itself needs no other one
     hashes = cut(links.select(F.explode(F.array("seed", "following")).alias("hash"), (F.col("seed") == F.col("following")).alias("alone")).groupBy("hash").agg(F.max("alone").alias("alone")))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text", 4 << 20):
+        for b in chunks(batches, "text", 1 << 20):
+            rows = []
             for doc, text, wanted in zip(b.column(0).to_pylist(), bytes_of(b.column(1)), b.column(2).to_pylist()):
                 words = word_hashes(text)
                 at, h = turning(words, k, window)
@@ -629,34 +771,43 @@ def all_partners(links: DataFrame, found: DataFrame, docs: DataFrame, k: int, wi
                 i, j = link_pairs(at, max(1, near - SHIFT), REACH + SHIFT)
                 if len(i):
                     link = link_hashes(h[i], h[j])
-                    kept = unlike_places(words, k, at[i], at[j], link)
-                    link, i, j = link[kept], i[kept], j[kept]
-                    yield pa.RecordBatch.from_arrays([pa.array(link.view(np.int64)), pa.array(np.full(len(i), doc, np.int64)), pa.array(at[i].astype(np.int32)), pa.array(at[j].astype(np.int32))], names=["link", "other", "to", "to_next"])
+                    if len(np.unique(link)) < len(link):
+                        kept = unlike_places(words, k, at[i], at[j], link)
+                        link, i, j = link[kept], i[kept], j[kept]
+                    rows.append((link.view(np.int64), np.full(len(i), doc, np.int64), at[i].astype(np.int32), at[j].astype(np.int32)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["link", "other", "to", "to_next"])
 
     asked = cut(links.groupBy("link").agg(F.max("doc").alias("last")))
-    held = map_arrow(docs.join(having(found, hashes), "doc").select("doc", "text", "hashes"), each, "link long, other long, to int, to_next int")
+    wanted = having(seeded, hashes).groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
+    held = map_arrow(docs.join(wanted.hint("shuffle_merge"), "doc").select("doc", "text", "hashes"), each, "link long, other long, to int, to_next int")
     partners = held.join(small(asked, 16), "link").where("other < last").drop("last").distinct()
     fits = f"to_next - to between {near} and {REACH} or abs(to_next - to - next + pos) <= {SHIFT}"
     met = links.select("doc", "pos", "next", "link").join(partners, "link").where("other < doc").where(fits)
     return met.select("doc", "other", F.explode(F.array(F.struct("pos", "to"), F.struct(F.col("next").alias("pos"), F.col("to_next").alias("to")))).alias("x")).select("doc", "x.pos", "other", "x.to").distinct()
 
 
-def exact_runs(open_: DataFrame, found: DataFrame, docs: DataFrame, k: int, n: int) -> DataFrame:
+def exact_runs(open_: DataFrame, seeded: DataFrame, docs: DataFrame, k: int, n: int) -> DataFrame:
     """Passages for the runs (doc, key, start, run, least) that an earlier document has as they are.
 
-    found: all matches of seeds. The documents that have a run's least seed hash their runs about it; only the first holder of each is kept.
+    seeded: the table of matches. The documents that have a run's least seed hash their runs about it; only the first holder of each is kept.
     """
     least = cut(open_.select(F.col("least").alias("hash"), F.lit(True).alias("alone")).distinct())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text", 4 << 20):
+        for b in chunks(batches, "text", 1 << 20):
+            rows = []
             for doc, text, hashes in zip(b.column(0).to_pylist(), bytes_of(b.column(1)), b.column(2).to_pylist()):
                 words = word_hashes(text)
                 if len(words) >= n:
                     at = np.flatnonzero(np.isin(sliding(kmers(words, k), n - k + 1, np.minimum), np.array(hashes, np.int64).view(np.uint64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(run_hashes(words, at, n).view(np.int64)), pa.array(np.full(len(at), doc, np.int64)), pa.array(at)], names=["run", "doc", "pos"])
+                    rows.append((run_hashes(words, at, n).view(np.int64), np.full(len(at), doc, np.int64), at))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["run", "doc", "pos"])
 
-    runs = map_arrow(docs.join(having(found, least), "doc").select("doc", "text", "hashes"), each, "run long, doc long, pos long")
+    pairs = having(seeded, least)
+    wanted = pairs.groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
+    runs = map_arrow(docs.join(F.broadcast(wanted) if small(pairs, 40) is not pairs else wanted, "doc").select("doc", "text", "hashes"), each, "run long, doc long, pos long")
     first = runs.groupBy("run").agg(F.min(F.struct("doc", "pos")).alias("first"))
     asked = cut(open_.groupBy("run").agg(F.count("*").alias("asked")).join(first, "run"))
     met = skew_join(open_, asked, ["run"], "asked").where("first.doc < doc").select("doc", "key", "start", F.col("first.doc").alias("other_id"), (F.col("first.pos") - F.col("start")).alias("far")).distinct()
@@ -681,11 +832,25 @@ def verified(docs: DataFrame, chains: DataFrame, k: int, window: int, min_words:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", 4 << 20):
             out, runs, links = [], [], []
-            for doc, text, close, late, own, pieces in zip(b.column(0).to_pylist(), bytes_of(b.column(1)), *(b.column(i).to_pylist() for i in (2, 3, 4, 5))):
+            lates, chains_, pieces = (b.column(i) for i in (3, 4, 5))
+            owner, ats, tos = (chains_.values.field(i) for i in range(3))
+            owner, ends, ats, tos = owner.to_numpy(), ats.offsets.to_numpy(), ats.values.to_numpy(), tos.values.to_numpy()
+            other, number, block = (pieces.values.field(i).to_numpy() for i in range(3))
+            held = pieces.values.field(3)
+            edges = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1] // 4 if len(held) else None
+            hashes = np.frombuffer(held.buffers()[2], np.uint32, edges[-1]) if len(held) else None
+            places = lates.values.to_numpy()
+            offsets = (x.offsets.to_numpy().tolist() for x in (lates, chains_, pieces))
+            for doc, text, close, *at_ in zip(b.column(0).to_pylist(), bytes_of(b.column(1)), b.column(2).to_pylist(), *(y for x in offsets for y in (x[:-1], x[1:]))):
                 words, key = word_hashes(text), text_key(text)
-                passages = passages_of(words.astype(np.uint32), own, pieces or [], k, min_words, similarity)
-                out += [(doc, key, a, e, other, x, y, e - a, equal) for a, e, other, x, y, equal in passages]
-                if late:
+                late, passages = places[at_[0] : at_[1]], []
+                c, d, i, j = at_[2:]
+                if c < d and i < j:
+                    asked = (other[i:j], number[i:j], block[i:j]), lambda x, i=i: hashes[edges[i + x] : edges[i + x + 1]]
+                    own, short = slice(ends[c], ends[d]), words.astype(np.uint32)
+                    passages = best_passages(short, tries_of(short, owner[c:d], ends[c : d + 1] - ends[c], ats[own], tos[own], asked, k, min_words, similarity), k, min_words, similarity)
+                out += [(doc, key, a, e, other_id, x, y, e - a, equal) for a, e, other_id, x, y, equal in passages]
+                if len(late):
                     spans = [x[:2] for x in passages]
                     if close:
                         at, h, least = open_runs(words, late, spans, k, window, min_words)
@@ -709,7 +874,7 @@ def passage_rows(docs: DataFrame, min_words: int, similarity: float, k: int, win
     if min_words < window + k - 1:
         raise ValueError("a run of min_words words must have a seed")
     docs = identified(docs)
-    found, path = matches(docs, k, window)
+    found, seeded, path = matches(docs, k, window)
     near = least_span(k, min_words) - k
     tidy(docs.sparkSession)
     chains = cut(chained(found, k, window, min_words))
@@ -721,7 +886,7 @@ def passage_rows(docs: DataFrame, min_words: int, similarity: float, k: int, win
     left = rows.where("run is not null and link is null").select(F.col("doc_id").alias("doc"), "key", "start", "run", "least")
     links = rows.where("link is not null").select(F.col("doc_id").alias("doc"), "key", F.col("start").cast("int").alias("pos"), F.col("end").cast("int").alias("next"), F.col("run").alias("seed"), F.col("least").alias("following"), "link")
     if not left.isEmpty():
-        exact = cut(exact_runs(left, found, docs, k, min_words))
+        exact = cut(exact_runs(left, seeded, docs, k, min_words))
         aligned = aligned.unionByName(exact)
         spans = exact.groupBy(F.col("doc_id").alias("doc"), "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
         over = lambda at: F.exists("spans", lambda x: (x["start"] <= at) & (x["end"] >= at + k))
@@ -729,7 +894,7 @@ def passage_rows(docs: DataFrame, min_words: int, similarity: float, k: int, win
     links = cut(links.drop("key"))
     tidy(docs.sparkSession)
     if not links.isEmpty():
-        chains = cut(chained(all_partners(links, found, docs, k, window, near), k, window, min_words, every=True))
+        chains = cut(chained(all_partners(links, seeded, docs, k, window, near), k, window, min_words, every=True))
         tidy(docs.sparkSession)
         aligned = aligned.unionByName(verified(docs, chains.withColumn("late", F.lit(None).cast("array<int>")), k, window, min_words, similarity, near).select(*COLUMNS))
     passages = cut(aligned.distinct())

@@ -313,3 +313,54 @@ def test_others_with_equal_words_are_given_once():
     assert G.passages_of(doc, chains, pieces, G.K, 50, 0.8) == [(0, 60, 5, 0, 60, 60), (0, 60, 8, 0, 60, 59)]
     short = [{**c, "at": [0, 20], "to": [0, 20]} for c in chains]
     assert [r[2] for r in G.passages_of(doc[:40], short, [{**x, "words": x["words"][:160]} for x in pieces], G.K, 40, 0.8)] == [5, 8]
+
+
+def test_places_where_no_passage_can_be():
+    """hopeful against a plain search of the windows; straight chains by equal words, the others by words that occur at all."""
+    rng = np.random.default_rng(11)
+    met = set()
+    for _ in range(60):
+        words, others = rng.integers(0, 14, rng.integers(1, 90)).astype(np.uint32), rng.integers(0, 16, 200).astype(np.uint32)
+        at = [np.sort(rng.integers(0, n + 1, (12, 2))).T for n in (200, len(words))]
+        (first, last), (start, end) = at
+        zero = np.where((np.arange(12) % 2 == 0) & (first + end - start <= 200), first - start, G.BENT)
+        got = G.hopeful(words, others, first, last, start, end, zero, 10, 0.8)
+        for i in range(12):
+            w = words[start[i] : end[i]]
+            same = np.isin(w, others[first[i] : last[i]]) if zero[i] == G.BENT else w == others[first[i] : first[i] + len(w)]
+            assert got[i] == any(same[a:b].sum() >= 0.8 * (b - a) for a in range(len(w)) for b in range(a + 10, len(w) + 1))
+            met.add((bool(zero[i] == G.BENT), bool(got[i])))
+    assert len(met) >= 3
+
+
+def test_chains_without_a_passage_are_not_aligned():
+    """Of many documents that share two short runs, at other distances, none is aligned; the passages of the rest are those of all chains."""
+    rng = np.random.default_rng(12)
+    doc = rng.integers(0, 1 << 31, 300).astype(np.uint32)
+    chains, texts = [], {}
+    for n in range(40):
+        other = rng.integers(0, 1 << 31, 200).astype(np.uint32)
+        other[50:55], other[70 + n % 3 : 75 + n % 3] = doc[100:105], doc[121:126]
+        chains.append({"other": 1 + n, "at": [100, 121], "to": [50, 70 + n % 3]})
+        if n % 10 == 0:  # a fuzzy copy with two words more
+            other[40:71], other[73:110] = doc[90:121], doc[121:158]
+            chains[-1]["to"][1] = 73
+        texts[1 + n] = other
+    numbers = [range((c["to"][0] - G.MARGIN if c["to"][0] > G.MARGIN else 0) // G.BLOCK, (c["to"][1] + G.K + G.MARGIN) // G.BLOCK + 1) for c in chains]
+    held = [(c["other"], 7, x, texts[c["other"]][x * G.BLOCK : (x + 1) * G.BLOCK]) for c, own in zip(chains, numbers) for x in own if x * G.BLOCK < 200]
+    pieces = [{"chain": n, "key": 7, "block": x, "words": texts[c["other"]][x * G.BLOCK : (x + 1) * G.BLOCK].tobytes()} for n, (c, own) in enumerate(zip(chains, numbers)) for x in own if x * G.BLOCK < 200]
+    flat = lambda name: np.array([x for c in chains for x in c[name]], np.int32)
+    given = tuple(np.array(x) for x in zip(*(h[:3] for h in held))), lambda i: held[i][3]
+    tries = list(G.tries_of(doc, np.array([c["other"] for c in chains]), np.arange(0, 81, 2), flat("at"), flat("to"), given, G.K, 50, 0.8))
+    assert [t[0] for t in tries] == [1, 11, 21, 31]
+    got = G.best_passages(doc, tries, G.K, 50, 0.8)
+    assert got == G.passages_of(doc, chains, pieces, G.K, 50, 0.8) and [r[2] for r in got] == [1, 11, 21]  # 31 has the words of 1
+
+
+def test_blocks_are_asked_for_once(spark):
+    """Two chains of a document with the same other one ask for the blocks they have in common once."""
+    rows = [(9, 1, p, t) for p, t in ((0, 100), (20, 120), (30, 130), (300, 101), (320, 121), (330, 131))]
+    found = spark.createDataFrame(rows, "doc long, other long, pos int, to int")
+    (got,) = G.chained(found, G.K, G.WINDOW, 50, every=True).collect()
+    assert [(c.other, c.at, c.to) for c in got.chains] == [(1, [0, 20, 30], [100, 120, 130]), (1, [300, 320, 330], [101, 121, 131])]
+    assert [(a.other, a.block) for a in got.asked] == [(1, 0), (1, 1), (1, 2)]
