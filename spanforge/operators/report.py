@@ -11,6 +11,12 @@ from .decisions import span
 from .ranges import by_media
 
 
+def seconds_of(wanted: Column) -> Column:
+    """The seconds of a group's wanted rows, added in the order of seq: the last digit of a sum of doubles hangs on the order, and with it what a text says of a whole minute."""
+    spans = F.sort_array(F.collect_list(F.when(wanted, F.struct(SEQ, span().alias("s")))))
+    return F.aggregate(spans, F.lit(0.0), lambda total, x: total + x["s"])
+
+
 def totals(edl: DataFrame, media: DataFrame) -> DataFrame:
     """Counts and seconds by action among accepted rows, rejected rows, and the share of the duration that is cut (overlaps count twice)."""
     done = F.col("accepted")
@@ -20,15 +26,15 @@ def totals(edl: DataFrame, media: DataFrame) -> DataFrame:
         F.count_if(is_("cut")).alias("n_cut"),
         F.count_if(is_("keep")).alias("n_keep"),
         F.count_if(~done).alias("n_rejected"),
-        F.sum(F.when(is_("mute"), span()).otherwise(0.0)).alias("t_mute"),
-        F.sum(F.when(is_("cut"), span()).otherwise(0.0)).alias("t_cut"),
+        seconds_of(is_("mute")).alias("t_mute"),
+        seconds_of(is_("cut")).alias("t_cut"),
     )
     return sums.join(media, MEDIA).withColumn("removed", F.when(F.col("duration") > 0, 100 * F.col("t_cut") / F.col("duration")).otherwise(F.lit(0.0)))
 
 
 def by_category(edl: DataFrame) -> DataFrame:
     """Accepted rows and their seconds by first category, ranked by count, then by first appearance."""
-    sums = edl.where("accepted").groupBy(MEDIA, first_token(F.col("category")).alias("category")).agg(F.count("*").alias("n"), F.sum(span()).alias("seconds"), F.min(SEQ).alias("_first"))
+    sums = edl.where("accepted").groupBy(MEDIA, first_token(F.col("category")).alias("category")).agg(F.count("*").alias("n"), seconds_of(F.lit(True)).alias("seconds"), F.min(SEQ).alias("_first"))
     order = Window.partitionBy(MEDIA).orderBy(F.desc("n"), "_first")
     return sums.withColumn("place", F.row_number().over(order)).drop("_first")
 

@@ -158,6 +158,15 @@ def test_report_and_phrases(spark):
     assert "rejected" not in text and text.count("after: ") == 1
 
 
+def test_seconds_are_added_in_order(spark):
+    spans = [1.5, 11.8, 9.1, 28.2, 9.4]  # 59.99999999999999 in this order, 60.0 in the other
+    rows = [(1, i, 0.0, x, "cut", "sex", "", "", "", "manual", True) for i, x in enumerate(spans)]
+    edl = spark.createDataFrame(rows[::-1], DECISION).coalesce(1)
+    media = spark.createDataFrame([(1, 100.0, "/m/1")], "media_id long, duration double, video_path string")
+    assert report.totals(edl, media).first().t_cut == report.by_category(edl).first().seconds == 59.99999999999999
+    assert "Cuts:      5  (60.0s of video)" in [r.text for r in report.report_lines(edl, media).collect()]
+
+
 def test_plan(spark):
     media = spark.createDataFrame([(i, f"/m/{i}") for i in range(1, 6)], "media_id long, video_path string")
     files = spark.createDataFrame([(2, "film", "film.en", False, 0)], "media_id long, stem string, name string, in_subs boolean, pos long")
