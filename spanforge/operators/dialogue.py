@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import Pattern
 from ..functions.text import soften
 from ..schema import DECISION_COLUMNS, MEDIA, REASON_CAP, SEQ
-from .ranges import by_media, overlaps, range_exists_within
+from .ranges import by_media, range_exists_within
 
 
 def _seq(df: DataFrame, *order) -> DataFrame:
@@ -143,12 +143,21 @@ def chunk_lines(cues: DataFrame, gap: float = 6.0, span: float = 90.0, least: in
     return chunks.select(MEDIA, "chunk", F.col("lines")[0]["start"].alias("start"), F.element_at("lines", -1)["end"].alias("end"), "lines")
 
 
-def review_context(edl: DataFrame, cues: DataFrame, most: int = 10) -> DataFrame:
-    """(media_id, seq, place, idx, text): the first cues that overlap each row."""
-    d = edl.select(MEDIA, SEQ, F.col("start").alias("_a"), F.col("end").alias("_b"))
-    near = overlaps(d, cues, "_a", "_b")
-    order = Window.partitionBy(MEDIA, SEQ).orderBy("idx")
-    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select(MEDIA, SEQ, "place", "idx", "text")
+def review_context(edl: DataFrame, cues: DataFrame, most: int = 10, stretch: int = 64) -> DataFrame:
+    """(media_id, seq, place, idx, text): the first cues, by idx, that overlap each row, touching ones not.
+
+    An item's cues are gathered once, in stretches of so many by start, and each of its rows looks through the stretches that
+    it overlaps: either side is shuffled once, and no pair is.
+    """
+    number = F.row_number().over(by_media("start", "idx"))
+    placed = cues.where("start is not null and end is not null").withColumn("_stretch", F.floor((number - 1) / stretch))
+    parts = placed.groupBy(MEDIA, "_stretch").agg(F.min("start").alias("lo"), F.max("end").alias("hi"), F.collect_list(F.struct("idx", "start", "end", "text")).alias("cues"))
+    said = parts.groupBy(MEDIA).agg(F.collect_list(F.struct("lo", "hi", "cues")).alias("_parts"))
+    within = lambda lo, hi: (lo < F.col("_b")) & (hi > F.col("_a"))
+    near = F.flatten(F.transform(F.filter("_parts", lambda p: within(p["lo"], p["hi"])), lambda p: F.filter(p["cues"], lambda c: within(c["start"], c["end"]))))
+    rows = edl.select(MEDIA, SEQ, F.col("start").alias("_a"), F.col("end").alias("_b")).join(said, MEDIA)
+    met = rows.select(MEDIA, SEQ, F.posexplode(F.slice(F.sort_array(near), 1, most)).alias("_k", "_c"))
+    return met.select(MEDIA, SEQ, (F.col("_k") + 1).alias("place"), "_c.idx", "_c.text")
 
 
 def capped(reason: Column, most: int = REASON_CAP) -> Column:

@@ -158,6 +158,24 @@ def test_report_and_phrases(spark):
     assert "rejected" not in text and text.count("after: ") == 1
 
 
+def test_review_context_shuffles_either_side_once(spark):
+    rng = random.Random(5)
+    some = lambda n: [(m, i, a, a + rng.choice([0.0, 1.0, 30.0, 4000.0])) for m in (1, 2) for i in range(n) for a in [float(rng.randint(0, 9000))]]
+    left, right = some(20), some(200)
+    edl = spark.createDataFrame(left, "media_id long, seq long, start double, end double")
+    cues = spark.createDataFrame([(*r, f"t{r[1]}") for r in right], "media_id long, idx int, start double, end double, text string")
+    want = [(m, i, k + 1, x) for m, i, a, b in left for k, x in enumerate(sorted(j for n, j, s, e in right if n == m and s < b and e > a)[:10])]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = dialogue.review_context(edl, cues)
+        assert sorted((r.media_id, r.seq, r.place, r.idx) for r in df.collect()) == want
+        plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("Exchange hashpartitioning") == 2 and "sequence(" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_seconds_are_added_in_order(spark):
     spans = [1.5, 11.8, 9.1, 28.2, 9.4]  # 59.99999999999999 in this order, 60.0 in the other
     rows = [(1, i, 0.0, x, "cut", "sex", "", "", "", "manual", True) for i, x in enumerate(spans)]
