@@ -59,6 +59,15 @@ def write_srt(cues: DataFrame, path: str) -> None:
     srt_documents(cues).repartition(MEDIA).write.mode("overwrite").partitionBy(MEDIA).option("lineSep", "\n").text(path)
 
 
+def write_documents(documents: DataFrame, path: str) -> None:
+    """(media_id, value) of any kind of document, many items in a file: one file each, as write_srt and write_edl make for handing out, takes some 5 ms an item to make, commit, list and open."""
+    documents.write.mode("overwrite").parquet(path)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("media_id bigint, value string").parquet(path)
+
+
 def edl_documents(edl: DataFrame, media: DataFrame) -> DataFrame:
     """(media_id, value): each item's decisions as a JSON document, in order. media: media_id, video_path, subtitle_path."""
     fields = ["start", "end", "action", "category", "reason", "text_before", "text_after", "source", "accepted"]
